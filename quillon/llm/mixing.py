@@ -63,7 +63,7 @@ def _cut(times: DataFrame, budget: int, low: int, high: int):
             return low
 
 
-def mixed(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3, budget_share: float = 1.0, seed: int = 11, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3, budget_share: float = 1.0, seed: int = 11, text: str = "text", id_col: str = "doc_id", source: str = "source", carry: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken per document; taken is a multiple of size, at most max_epochs.
 
     Null texts and texts without words have size 0 and are never taken. Null sources are one source, the last.
@@ -72,7 +72,7 @@ def mixed(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3
     """
     spark = docs.sparkSession
     weights = weights or [1, 2, 3]
-    base = common.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))).cast("binary")).alias("key")), "sizes")
+    base = common.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))).cast("binary")).alias("key"), *([carry] if carry else [])), "sizes")
     count = base.count()
     lcm = reduce(math.lcm, weights, 1)
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -91,13 +91,25 @@ def mixed(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))).join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
     rate = (F.lit(lcm) / F.col("t.weight")).cast("long")
     timed = common.saved(
-        joined.select("a.doc_id", "a.source", "a.size", "t.source_size", "t.target", ((F.col("b.start") + F.col("a.upto")) * rate).alias("first"), (F.col("t.source_size") * rate).alias("round")), "finish"
+        joined.select(*([f"a.{carry}"] if carry else []), "a.doc_id", "a.source", "a.size", "t.source_size", "t.target", ((F.col("b.start") + F.col("a.upto")) * rate).alias("first"), (F.col("t.source_size") * rate).alias("round")), "finish"
     )
     passes = F.sequence(F.lit(0), F.lit(max_epochs - 1))
     times = timed.where("size > 0").select("size", F.explode(passes).alias("pass"), "first", "round").select("size", (F.col("first") + F.col("pass") * F.col("round")).alias("finish"))
     cut = _cut(times, budget, 0, top)
     taken = sum(((F.col("first") + F.lit(k) * F.col("round")) <= cut).cast("long") for k in range(max_epochs))
-    return timed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
+    return timed.select(*([carry] if carry else []), "doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all their columns, each as often as the mix takes it.
+
+    The finish times of a source need no text, so only the cut is looked up: by (id, text) hash a row finds how
+    many passes take it. Rows that repeat id and text are taken equally often.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(source), F.col(text))
+    plan = mixed(docs.withColumn("_key", key), weights, max_epochs, text=text, id_col=id_col, source=source, carry="_key")
+    times = plan.where("taken > 0").select("_key", (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["_key"])
+    return docs.withColumn("_key", key).join(times, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

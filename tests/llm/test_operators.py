@@ -159,7 +159,7 @@ def test_near_duplicates(spark, docs, monkeypatch):
 
 
 def test_prefix_is_shortened_to_the_target():
-    assert jaccard_join.prefix_length(0.8, 0.99) == 6 and jaccard_join.prefix_length(0.8, 0.999) == 5
+    assert jaccard_join.prefix_length(0.8, 0.99) == 6 and jaccard_join.prefix_length(0.8, 0.999) == 4
 
 
 def test_components(spark):

@@ -14,7 +14,6 @@ id, 2 or 4) and the ids. Keys in a block leave out the prefix they share with th
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -23,71 +22,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 
 MAGIC = b"QSSTABL1"
 FOOTER = struct.Struct("<QIQIQQ8s")
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_500_000
 
-#: A blank between two other characters starts a token of the byte-level pattern; so do these places in a piece.
-_INNER = re.compile(r"(?<=[^\W\d_])(?=[^\w\s'])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-_UNSURE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_PLAIN = ~_SPACE
+_PLAIN[128:] = False
+_PLAIN[:33] = False
+
+
+def pieces(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Starts of pieces that the byte-level pattern tokenizes alike alone and in their text.
+
+    Its tokens never go across the start of a text; a blank that a non-blank follows, or that ends a run of
+    non-blanks; an ASCII letter's end before a mark other than an apostrophe; a newline between non-blanks. The
+    pattern looks ahead for blanks only, and never back.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        before, here, after = data[:-1], data[1:], np.append(data[2:], np.uint8(0))
+        cut[1:-1] = (here == 32) & (_PLAIN[after] | _PLAIN[before]) | _LETTER[before] & _MARK[here]
+        line = np.flatnonzero((here == 10) & _PLAIN[before]) + 1
+        cut[line] = True
+        line = line[line + 1 < len(data)]
+        cut[line[_PLAIN[data[line + 1]]] + 1] = True
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    cut[len(data)] = False
+    return np.flatnonzero(cut)
+
+
+class Cache:
+    """Token ids by 64-bit hash of a piece, in a few sorted arrays over one pool of ids."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray):
+        """(start in the pool or -1, number of ids)"""
+        start, n = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, s, c in self.levels:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            start[hit], n[hit] = s[at[hit]], c[at[hit]]
+        return start, n
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """keys in ascending order"""
+        count = np.array([len(x) for x in ids])
+        flat = np.array([t for x in ids for t in x], np.uint32)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        level = keys, np.cumsum(count) - count + self.used, count
+        self.used += len(flat)
+        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
+            both = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
+            order = np.argsort(both[0])
+            level = tuple(x[order] for x in both)
+        self.levels.append(level)
 
 
 class Encoder:
     """``tokenizers`` over whole texts; for byte-level pre-tokenizers equal pieces are encoded once.
 
-    The byte-level pattern never joins characters across a single blank that stands between two non-blanks (the
-    blank opens the next token), so a text is the concatenation of pieces cut there. Texts with other white
-    space, or that hold the string of an added token, are encoded whole.
+    Texts that hold the string of an added token, and those of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian 32-bit numbers."""
-        out: list = [None] * len(texts)
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            sure = self.cut and not _UNSURE.search(t) and not any(a in t for a in self.added)
-            (cut if sure else whole).append(i)
-        for i in whole:
-            out[i] = self._raw([texts[i]])[0]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        if len(self.parts) > CACHE_PIECES:
-            self.parts.clear()
-        split = [texts[i].replace(" ", "\0 ").split("\0") for i in cut if "\0" not in texts[i]]
-        odd = [i for i in cut if "\0" in texts[i]]
-        for i in odd:
-            out[i] = self._raw([texts[i]])[0]
-        new = set().union(*split).difference(self.pieces) if split else set()
-        inner = {p: _INNER.split(p) for p in new}
-        fresh = list(set().union(*inner.values()).difference(self.parts)) if inner else []
-        self.parts.update(zip(fresh, self._raw(fresh)))
-        get = self.parts.__getitem__
-        self.pieces.update((p, b"".join(map(get, x))) for p, x in inner.items())
-        get = self.pieces.__getitem__
-        for i, p in zip((i for i in cut if "\0" not in texts[i]), split):
-            out[i] = b"".join(map(get, p))
-        return out
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.cache = Cache()
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, index of each text's first id with the total at the end) of texts given as UTF-8."""
+        raw = data.tobytes()
+        if not self.cut or any(a in raw for a in self.added):
+            ids = self._raw([raw[s:e].decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            return np.array([t for x in ids for t in x], np.uint32), np.cumsum([0] + [len(x) for x in ids])
+        start = pieces(offsets, data)
+        end = np.append(start[1:], len(data))[: len(start)]
+        keys, lead, of = np.unique(words.span_hash(words.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        if sum(len(x[0]) for x in self.cache.levels) > CACHE_PIECES:
+            self.cache = Cache()
+        at, n = self.cache.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self.cache.add(keys[new], self._raw([raw[s:e].decode("utf-8", "replace") for s, e in zip(start[lead[new]].tolist(), end[lead[new]].tolist())]))
+            at, n = self.cache.find(keys)
+        at, n = at[of], n[of]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.cache.pool[np.arange(upto[-1]) - np.repeat(upto[:-1] - at, n)]
+        return ids, upto[np.searchsorted(start, offsets)]
 
 
 def varint(n: int) -> bytes:
@@ -237,8 +287,10 @@ def _write(folder: str, tokenizer: str, end_id: int):
 
         def parts():
             for b in common.slices(batches, "text"):
-                ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-                for doc, raw in zip(ids, encoder.encode(texts)):
+                ids, first = encoder.encode(*common.offsets_of(b.column(1)))
+                wide = ids.astype("<u4").tobytes()
+                for doc, s, e in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    raw = wide[4 * s : 4 * e]
                     state["repeat"] = state["repeat"] + 1 if state["n"] and doc == state["last"] else 0
                     state["last"] = doc
                     state["n"] += 1

@@ -232,13 +232,18 @@ def test_token_table(spark, docs):
     assert token_table.token_table(empty(spark)).count() == 0
 
 
-def test_encoder_pieces_equal_whole_texts():
+def test_encoder_pieces_equal_whole_texts(monkeypatch):
     import public_tokenizers
 
     e = token_table.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_table, "CACHE_PIECES", 300)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("ab é's,.!?\n 12'lld-_ ²x́") for _ in range(60)) for _ in range(400)] + ["", " ", "a", "\0 b c"]
-    assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts = ["".join(rng.choice("ab é's,.!?\n 12'lld-_ ²x́\u00a0\u2003\u2019…×\t") for _ in range(60)) for _ in range(1500)] + ["", " ", "a", "\0 b c", "\n", "x\n\n y\n"]
+    for some in (texts[:700], texts[700:], ["<|endoftext|> a b", "c d"]):
+        raw = [t.encode() for t in some]
+        ids, first = e.encode(np.cumsum([0] + [len(r) for r in raw]), np.frombuffer(b"".join(raw), np.uint8))
+        for t, s, n in zip(some, first[:-1], first[1:]):
+            assert ids[s:n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_mixing(spark, docs):

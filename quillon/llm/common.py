@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once; bounds the memory of its intermediates.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LOCAL: list[str] = []
 
 

@@ -9,7 +9,7 @@ byte: identifiers of 8-byte grams are refined into those of 16, 32, 64, 128 and
 identifiers at the place and at a later offset, reusing the level before; sorting them finds the windows that
 two contexts share. Identifiers are 64-bit hashes instead of ranks, so that tasks agree without a global sort.
 
-Documents are kept as units (a few megabytes, compressed) in files on shared storage; positions refer to units,
+Documents are kept as units (about a megabyte, compressed) in files on shared storage; positions refer to units,
 and tasks read the units they need, so texts are never shuffled. A bucket of more than BUCKET contexts is not
 brought to one task: the identifiers of its windows are counted by Spark with partial sums.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 LENGTH, GRAM = 200, 40
-UNIT_BYTES = 2 << 20
+UNIT_BYTES = 1 << 20
 TILE = 1 << 25
 BUCKET = 2048
 
@@ -219,7 +219,7 @@ def _compare(length: int):
 
 def _identified(length: int):
     def run(batches):
-        for b in common.slices(batches, "text", UNIT_BYTES // 4):
+        for b in common.slices(batches, "text", UNIT_BYTES // 2):
             of, d, x, y = _windows(b.column(2), length)
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(d.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["h", "c", "d", "x", "y"])

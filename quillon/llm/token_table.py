@@ -286,7 +286,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         encoder, writer, state = _ENCODERS[tokenizer], Writer(), {"last": 0, "repeat": 0, "first": None, "n": 0}
 
         def parts():
-            for b in common.slices(batches, "text"):
+            for b in common.slices(batches, "text", 4 << 20):
                 ids, first = encoder.encode(*common.offsets_of(b.column(1)))
                 wide = ids.astype("<u4").tobytes()
                 for doc, s, e in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):

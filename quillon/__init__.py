@@ -10,6 +10,7 @@ from .operators.select import *  # noqa: F403
 from .plans.engine import Adapter, Engine, execute, execute_query
 from .render import *  # noqa: F403
 from .schema import *  # noqa: F403
+from .schema.databases import *  # noqa: F403
 from .sources import *  # noqa: F403
 from .types import CapabilityError, Domain, DomainError, GroupingError, QueryError, ScopeError, UnsupportedError
 

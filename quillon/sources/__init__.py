@@ -21,6 +21,7 @@ class Column:
     has_default: bool = False
     generated: bool = False
     generated_as: object = None
+    virtual: bool = False
     identity: bool = False
     on_update: object = None
     sql_name: str | None = None

@@ -185,6 +185,40 @@ def test_schema_metadata():
     assert q.snapshot_digest("") == "fnv1a64:cbf29ce484222325"
 
 
+def test_database_snapshots():
+    t = q.table("t", {"id": q.integer(identity=True), "body": q.json(nullable=True), "at": q.timestamp(), "raw": q.binary()}, lambda s: {"pk": q.primary_key(s.id)})
+    expected = {q.postgres_database: ("INTEGER", "JSONB", "TIMESTAMP", "BYTEA"), q.sqlite_database: ("INTEGER", "TEXT", "TEXT", "BLOB"), q.mysql_database: ("INT", "JSON", "DATETIME", "VARBINARY")}
+    for db, names in expected.items():
+        document = q.create_database_snapshot(q.schema({"t": t}), db)
+        assert {c["id"]: c["storage"]["declaration"] for c in document["tables"][0]["columns"]} == dict(zip(("id", "body", "at", "raw"), names, strict=True))
+        assert q.decode_snapshot(q.encode_snapshot(document)) == document
+
+    def said(db, columns, metadata=None, name="t"):
+        return sorted((c, p.split(".", 3)[-1]) for c, p, _ in q.diagnostics(q.schema({"t": q.table(name, columns, metadata)}), db))
+
+    option = "unsupported-dialect-option"
+    wide = {"a": q.integer(), "b": q.integer(nullable=True)}
+    assert [len(said(db, wide, name="é" * 32)) for db in expected] == [1, 0, 0] and [len(said(db, wide, name="n" * 65)) for db in expected] == [1, 0, 1]
+    twice = {"a": q.integer(), "c": q.integer(generated_as=q.add(q.table("t", {"a": q.integer()}).a, 1), virtual=True)}
+    assert [said(db, twice) for db in expected] == [[(option, "columns.c.generated")], [], []]
+    assert [said(db, {"a": q.integer(on_update=q.add(q.value(1), 1))}) for db in expected] == [[(option, "columns.a.onUpdate")]] * 2 + [[]]
+    assert [said(db, {"a": q.native_column("sqlite", "INT")}) for db in expected] == [[(option, "columns.a.storage")], [], [(option, "columns.a.storage")]]
+    assert [len(said(db, {"a": q.text(identity=True)})) for db in expected] == [0, 2, 2]
+    keys = {
+        "check": lambda s: {"c": q.check(q.gt(s.a, 0), deferrable=True)}, "nulls": lambda s: {"u": q.unique_constraint(s.b, nulls_distinct=False)},
+        "late": lambda s: {"p": q.primary_key(s.a, initially="deferred")}, "partial": lambda s: {"i": q.index(s.a, where=q.gt(s.a, 0))},
+        "include": lambda s: {"i": q.index(s.a, include=(s.b,))}, "order": lambda s: {"i": q.index(q.asc(s.a, "first"))},
+        "match": lambda s: {"f": q.foreign_key([s.a], q.references(t, "id"), match="full")}, "default": lambda s: {"f": q.foreign_key([s.a], q.references(t, "id"), on_delete="set default")},
+        "deferred": lambda s: {"f": q.foreign_key([s.a], q.references(t, "id"), deferrable=True)},
+    }
+    found = {k: [len(said(db, wide, m)) for db in expected] for k, m in keys.items()}
+    assert found == {"check": [1, 1, 1], "nulls": [1, 1, 1], "late": [1, 1, 1], "partial": [0, 0, 1], "include": [0, 1, 1], "order": [0, 0, 1], "match": [0, 1, 1], "default": [0, 0, 1], "deferred": [0, 0, 1]}
+    assert q.try_create_database_snapshot(q.schema({"t": q.table("t", wide, keys["check"])}), q.sqlite_database)[0] is None
+    with pytest.raises(q.SchemaError):
+        q.create_database_snapshot(q.schema({"t": q.table("t", wide, keys["nulls"])}), q.mysql_database)
+    assert [q.affinity(d) for d in ("BIGINT", "VARCHAR(3)", "", "DOUBLE", "DECIMAL(3)")] == ["integer", "text", "blob", "real", "numeric"]
+
+
 def test_streaming(engine, spark, tmp_path):
     from quillon.streaming import stream
 

@@ -225,7 +225,7 @@ def column(source: Source, name: str) -> Expr:
 
     def render(ctx):
         own = ctx.quote(source.fields[name])
-        return own if ctx.bare else f"{ctx.quote(source.name)}.{own}"
+        return own if ctx.bare else ctx.reference(source, f"{ctx.quote(source.name)}.{own}")
 
     ref = ColumnRef(source, name)
     return Expr("column", render, ("column", id(source), name), source.domains.get(name, T.UNKNOWN), frozenset([ref]), frozenset([source]), nullable=source.nullables.get(name, True))

@@ -22,7 +22,7 @@ def distinct() -> Clause:
 def from_(*sources: Source) -> Clause:
     if not sources:
         raise T.QueryError("FROM needs a source")
-    return Clause("from", 30, lambda ctx: "FROM " + ", ".join(s.render(ctx) for s in sources), provides=sources)
+    return Clause("from", 30, lambda ctx: "FROM " + ", ".join([ctx.marked(sources[0].render(ctx)), *(s.render(ctx) for s in sources[1:])]), provides=sources)
 
 
 def _join(word, source, condition=None):

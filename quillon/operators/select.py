@@ -105,7 +105,13 @@ def _cardinality(kinds, by) -> str:
 
 
 def _text(ctx, fields, clauses, by, extra) -> str:
-    ctx = ctx.query(extra)
+    provided = [s for c in clauses for s in c.provides]
+    host = by["from"].provides[0] if "from" in by else None
+    ctx = ctx.query(extra, provided, None if any(c.info in ("RIGHT JOIN", "FULL JOIN") for c in clauses if c.kind == "join") else host)
+    return ctx.frames[-1].hosted(ctx, _parts(ctx, fields, clauses, by))
+
+
+def _parts(ctx, fields, clauses, by) -> str:
     out = [c.build(ctx) for c in clauses if c.kind == "with"]
     out += [c.build(ctx) for c in clauses if c.kind == "custom" and c.order < 20]
     names = ctx.result_names(fields)
@@ -177,15 +183,15 @@ def scalar(query: Query) -> Expr:
     if len(query.row) != 1:
         raise T.QueryError(f"a scalar subquery has one column, not {len(query.row)}")
     ((domain, nullable),) = query.row.values()
-    return _subquery(lambda ctx: f"({query.render(ctx.relation())})", query, (), domain, "scalar", nullable=nullable or query.cardinality != "exactly-one")
+    return _subquery(lambda ctx: f"({query.render(ctx.inner())})", query, (), domain, "scalar", nullable=nullable or query.cardinality != "exactly-one")
 
 
 def exists(query: Query) -> Expr:
-    return _subquery(lambda ctx: f"EXISTS ({query.render(ctx.relation())})", query, (), T.BOOLEAN, "EXISTS", nullable=False)
+    return _subquery(lambda ctx: f"EXISTS ({query.render(ctx.inner())})", query, (), T.BOOLEAN, "EXISTS", nullable=False)
 
 
 def not_exists(query: Query) -> Expr:
-    return _subquery(lambda ctx: f"NOT EXISTS ({query.render(ctx.relation())})", query, (), T.BOOLEAN, "NOT EXISTS", nullable=False)
+    return _subquery(lambda ctx: f"NOT EXISTS ({query.render(ctx.inner())})", query, (), T.BOOLEAN, "NOT EXISTS", nullable=False)
 
 
 def in_query(a: Expr, query: Query) -> Expr:
@@ -200,14 +206,14 @@ def in_query(a: Expr, query: Query) -> Expr:
     T.require_equal(a.domain, domain, "IN")
 
     def render(ctx):
-        plain = lambda: f"({a.render(ctx)} IN ({query.render(ctx.relation())}))"
+        plain = lambda: f"({a.render(ctx)} IN ({query.render(ctx.inner())}))"
         if ctx.dialect.name != "spark" or ctx.conjunct:
             return plain()
         column = ctx.quote(ctx.relation().result_names({name: None})[0])
-        rows = lambda: f"({query.render(ctx.relation())}) AS {ctx.quote('_in')}"
+        rows = lambda: f"({query.render(ctx.inner())}) AS {ctx.quote('_in')}"
         return (
             f"CASE WHEN NOT EXISTS (SELECT 1 FROM {rows()}) THEN FALSE WHEN {a.render(ctx)} IS NULL THEN NULL"
-            f" WHEN EXISTS (SELECT 1 FROM {rows()} WHERE {ctx.quote('_in')}.{column} = {a.render(ctx)}) THEN TRUE"
+            f" WHEN EXISTS (SELECT 1 FROM {rows()} WHERE {ctx.quote('_in')}.{column} = {a.render(ctx.inner())}) THEN TRUE"
             f" WHEN EXISTS (SELECT 1 FROM {rows()} WHERE {ctx.quote('_in')}.{column} IS NULL) THEN NULL ELSE FALSE END"
         )
 

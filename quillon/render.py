@@ -124,6 +124,36 @@ def assert_dialect_capability(dialect: Dialect, capability: str) -> None:
         raise T.CapabilityError(f"{dialect.name} has no {capability}")
 
 
+@dataclass(eq=False)
+class Frame:
+    """One select that is being rendered for Spark: its depth in subqueries and its sources, the first one the host.
+
+    Spark resolves a column of the query just outside, not of one beyond. Such a column is carried: the query
+    between gives it out as a further column of its host.
+    """
+
+    level: int
+    sources: tuple
+    host: object = None
+    carried: dict = field(default_factory=dict)
+
+    def carry(self, ctx, text: str) -> str:
+        if self.host is None:
+            raise T.UnsupportedError("correlation over two levels needs a source in FROM, not made nullable by a join, in the query between")
+        return f"{ctx.quote(self.host.name)}.{ctx.quote(self.carried.setdefault(text, f'_outer{len(self.carried)}'))}"
+
+    def hosted(self, ctx, text: str) -> str:
+        """The select's text with the host between marks as it is, or with what it carries."""
+        before, mark, rest = text.partition("\0")
+        if not mark:
+            return text
+        host, _, after = rest.partition("\1")
+        if self.carried:
+            more = ", ".join(f"{t} AS {ctx.quote(a)}" for t, a in self.carried.items())
+            host = f"(SELECT *, {more} FROM {host}) AS {ctx.quote(self.host.name)}"
+        return before + host + after
+
+
 @dataclass
 class Context:
     """State of one rendering: parameters in textual order, CTEs in scope, and where the text stands."""
@@ -135,6 +165,8 @@ class Context:
     conjunct: bool = False
     bare: bool = False
     extra: list = field(default_factory=list)
+    level: int = 0
+    frames: tuple = ()
 
     def quote(self, name: str) -> str:
         q = self.dialect.quote
@@ -152,13 +184,31 @@ class Context:
     def operator(self, op: str) -> str:
         return self.dialect.ilike if op == "ILIKE" else op
 
-    def query(self, extra) -> Context:
+    def query(self, extra, sources=(), host=None) -> Context:
         """The context of one select: CTEs that it binds aren't seen outside."""
-        return dataclasses.replace(self, ctes=set(self.ctes), extra=extra, conjunct=False)
+        return dataclasses.replace(self, ctes=set(self.ctes), extra=extra, conjunct=False, frames=(*self.frames, Frame(self.level, tuple(sources), host)))
 
     def relation(self) -> Context:
         return dataclasses.replace(self, embedded=True, conjunct=False)
 
+    def inner(self) -> Context:
+        """The context of a subquery or a lateral, one level deeper than a derived table."""
+        return dataclasses.replace(self.relation(), level=self.level + 1)
+
+    def reference(self, source, text: str) -> str:
+        """A column of ``source``, carried over the levels between where the dialect is Spark's."""
+        if self.dialect.name != "spark":
+            return text
+        owner = next((f for f in reversed(self.frames) if any(s is source for s in f.sources)), None)
+        while owner is not None and self.level - owner.level > 1:
+            owner = next(f for f in reversed(self.frames) if f.level == owner.level + 1)
+            text = owner.carry(self, text)
+        return text
+
+    def marked(self, text: str) -> str:
+        """The first source of FROM, so that it can be told to carry columns."""
+        return f"\0{text}\1" if self.dialect.name == "spark" and self.frames else text
+
     def arm(self) -> Context:
         return dataclasses.replace(self, conjunct=False)
 

@@ -104,7 +104,7 @@ def _derived(kind, query: Query, name: str, render, **facts) -> Source:
 
 def lateral(query: Query, name: str) -> Source:
     """A derived table that may use the sources before it, which its query names with correlate()."""
-    return _derived("lateral", query, name, lambda ctx: f"LATERAL ({query.render(ctx.relation())}) AS {ctx.quote(name)}")
+    return _derived("lateral", query, name, lambda ctx: f"LATERAL ({query.render(ctx.inner())}) AS {ctx.quote(name)}")
 
 
 def cte(name: str, query: Query) -> Source:

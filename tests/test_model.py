@@ -229,3 +229,20 @@ def test_streaming(engine, spark, tmp_path):
     run.stop()
     assert [r.id for r in spark.table("seen").collect()] == [2]
     engine.register("posts", engine.tables["posts"])
+
+
+def test_correlation_over_levels():
+    t, u, v, w = (q.table(n, {"a": q.integer()}) for n in "tuvw")
+
+    def nested(middle, *joins):
+        last = q.select({"x": w.a}, q.from_(w), q.correlate(v, t), q.where(q.and_(q.eq(w.a, v.a), q.eq(w.a, t.a))))
+        between = q.select({"x": v.a}, q.from_(v), q.correlate(u, t), q.where(q.and_(q.eq(v.a, u.a), q.exists(last))))
+        outside = q.select({"x": u.a}, q.correlate(t), middle, *joins, q.where(q.exists(between)))
+        return q.select({"x": t.a}, q.from_(t), q.where(q.exists(outside)))
+
+    text = sql(nested(q.from_(u)), q.spark_dialect)
+    assert "(SELECT *, `t`.`a` AS `_outer0` FROM `u`) AS `u`" in text and "(SELECT *, `u`.`_outer0` AS `_outer0` FROM `v`) AS `v`" in text and "(`w`.`a` = `v`.`_outer0`)" in text
+    assert '("w"."a" = "t"."a")' in sql(nested(q.from_(u)), q.postgres_dialect) and "_outer" not in sql(nested(q.from_(u)), q.postgres_dialect)
+    other = q.alias(u, "other")
+    with pytest.raises(q.UnsupportedError):
+        sql(nested(q.from_(u), q.right_join(other, q.eq(u.a, other.a))), q.spark_dialect)

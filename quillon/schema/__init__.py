@@ -230,6 +230,31 @@ def _Literals(*args, **kw):  # noqa: N802
     return _literals()(*args, **kw)
 
 
+def normalize_schema_sql(sql: str) -> str:
+    """The text with line ends of one character; nothing else changes."""
+    return sql.replace("\r\n", "\n")
+
+
+def unsafe_schema_sql(dialect: str, sql: str, domain: T.Domain = T.UNKNOWN) -> Expr:
+    """Trusted SQL of one dialect for defaults, generated columns, checks and indexes; other dialects refuse it."""
+    if not dialect.strip() or not sql.strip():
+        raise SchemaError([("invalid-schema-sql", "sql", "needs a dialect and a text")])
+    sql = normalize_schema_sql(sql)
+
+    def render(ctx):
+        if not ctx.bare:
+            raise T.QueryError("schema SQL belongs to schema metadata, not to a query")
+        if ctx.dialect.name != dialect:
+            raise T.CapabilityError(f"SQL of {dialect} in {ctx.dialect.name}")
+        return sql
+
+    return Expr("schema-sql", render, ("schema-sql", dialect, sql), domain, schema_safe=True)
+
+
+def is_unsafe_schema_sql(x) -> bool:
+    return isinstance(x, Expr) and x.kind == "schema-sql"
+
+
 # --- snapshots --------------------------------------------------------------------------------------------------
 
 FORMAT, VERSION = "quillon-schema", 1
@@ -258,17 +283,24 @@ def canonical_json(x) -> str:
     return json.dumps(plain(x), separators=(",", ":"), ensure_ascii=False)
 
 
+def _stored(e: Expr, mode: str = "check"):
+    """Portable text, or the dialect and text of schema SQL that stands alone."""
+    if is_unsafe_schema_sql(e):
+        return {"dialect": e.key[1], "sql": e.key[2]}
+    return render_schema_expression(e, mode=mode)
+
+
 def _constraint(c: Constraint, names: dict) -> dict:
     if c.kind == "index":
-        terms = [{"expression": render_schema_expression(getattr(t, "expr", t)), "direction": getattr(t, "direction", None), "nulls": getattr(t, "nulls", None)} for t in c.columns]
+        terms = [{"expression": _stored(getattr(t, "expr", t)), "direction": getattr(t, "direction", None), "nulls": getattr(t, "nulls", None)} for t in c.columns]
         where = c.option("where")
-        return {"kind": "index", "terms": terms, "unique": c.option("unique"), "where": where and render_schema_expression(where), "include": sorted(names[i.key[2]] for i in c.option("include"))}
+        return {"kind": "index", "terms": terms, "unique": c.option("unique"), "where": _stored(where) if where is not None else None, "include": sorted(names[i.key[2]] for i in c.option("include"))}
     out = {"kind": c.kind, "columns": [names[n] for n in c.columns]} | {k: v for k, v in c.options if isinstance(v, str | bool | int)}
     if c.kind == "foreign":
         source, columns = foreign_target(c)
         out |= {"target": source.definition.name, "targetColumns": [source.fields[n] for n in columns]}
     if c.kind == "check":
-        out["expression"] = render_schema_expression(c.expr)
+        out["expression"] = _stored(c.expr)
     return out
 
 
@@ -283,10 +315,12 @@ def create_snapshot(s: Schema, adapter: Callable | None = None) -> dict:
             c = d.columns[f]
             default = None
             if isinstance(c.default, Default):
-                default = {"kind": c.default.kind} | ({"value": c.default.value} if c.default.kind == "literal" else {"sql": render_schema_expression(c.default.value, mode="default")} if c.default.kind == "expression" else {})
+                default = {"kind": c.default.kind} | ({"value": c.default.value} if c.default.kind == "literal" else {"sql": _stored(c.default.value, "default")} if c.default.kind == "expression" else {})
             columns.append({
                 "id": f, "name": t.fields[f], "storage": {"kind": "native", "dialect": c.native[0], "declaration": c.native[1]} if c.native else {"kind": "portable", "type": c.domain.name},
                 "nullable": c.nullable, "hasDefault": c.has_default, "generated": c.generated, "identity": bool(c.identity), "default": default,
+                "generatedAs": {"sql": _stored(c.generated_as), "mode": "virtual" if c.virtual else "stored"} if c.generated_as is not None else None,
+                "onUpdate": _stored(c.on_update) if isinstance(c.on_update, Expr) else None,
             })
         tables.append({"id": table_id, "name": d.name, "columns": columns, "constraints": {k: _constraint(d.constraints[k], t.fields) for k in sorted(d.constraints)}, "indexes": {k: _constraint(d.indexes[k], t.fields) for k in sorted(d.indexes)}})
     out = {"format": FORMAT, "version": VERSION, "namespace": s.namespace, "tables": tables}
@@ -306,7 +340,7 @@ def snapshot_digest(snapshot: dict | str) -> str:
     return f"fnv1a64:{h:016x}"
 
 
-_TABLE, _COLUMN = {"id", "name", "columns", "constraints", "indexes"}, {"id", "name", "storage", "nullable", "hasDefault", "generated", "identity", "default"}
+_TABLE, _COLUMN = {"id", "name", "columns", "constraints", "indexes"}, {"id", "name", "storage", "nullable", "hasDefault", "generated", "identity", "default", "generatedAs", "onUpdate"}
 
 
 def decode_snapshot(document: str | dict) -> dict:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from . import Constraint, Schema, SchemaError, create_snapshot
+from . import Constraint, Schema, SchemaError, create_snapshot, is_unsafe_schema_sql
 
 #: How each logical type is declared (fixed values).
 POSTGRES_STORAGE = {"integer": "INTEGER", "decimal": "NUMERIC", "text": "TEXT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "uuid": "UUID", "json": "JSONB", "bigint": "BIGINT", "binary": "BYTEA"}
@@ -58,6 +58,14 @@ def _storage(c, db: Database) -> str | None:
     return db.storage.get(c.domain.name)
 
 
+def _foreign_sql(e, db: Database):
+    """Messages about SQL of other dialects in an expression."""
+    if is_unsafe_schema_sql(e) and e.key[1] != db.name:
+        yield f"SQL of {e.key[1]}"
+    for x in getattr(e, "inner", ()):
+        yield from _foreign_sql(x, db)
+
+
 def _leads_key(field: str, definition) -> bool:
     for c in (*definition.constraints.values(), *definition.indexes.values()):
         first = c.columns[0] if c.columns else None
@@ -89,6 +97,9 @@ def _column(field, c, definition, db):
     declared = _storage(c, db)
     if declared is None:
         yield "storage", f"no {db.name} storage for " + (f"{c.native[1]!r} of {c.native[0]}" if c.native else c.domain.name)
+    for part, e in (("default", getattr(c.default, "value", None)), ("generated", c.generated_as), ("onUpdate", c.on_update)):
+        for message in _foreign_sql(e, db):
+            yield part, message
     if c.on_update is not None and not db.on_update:
         yield "onUpdate", f"{db.name} has no ON UPDATE"
     if c.on_update is not None and c.generated_as is not None:
@@ -104,6 +115,8 @@ def _column(field, c, definition, db):
 
 
 def _constraint(c: Constraint, db: Database):
+    for e in (c.expr, c.option("where"), *(getattr(t, "expr", t) for t in c.columns)):
+        yield from _foreign_sql(e, db)
     deferred, initially = c.option("deferrable", False), str(c.option("initially", "")).lower()
     if deferred and c.kind not in db.deferrable:
         yield f"a {c.kind} constraint can't be deferred in {db.name}"

@@ -246,3 +246,26 @@ def test_correlation_over_levels():
     other = q.alias(u, "other")
     with pytest.raises(q.UnsupportedError):
         sql(nested(q.from_(u), q.right_join(other, q.eq(u.a, other.a))), q.spark_dialect)
+
+
+def test_schema_sql_of_one_dialect():
+    raw = q.unsafe_schema_sql("postgresql", "x >\r\n0")
+    assert q.is_unsafe_schema_sql(raw) and not q.is_unsafe_schema_sql(users.id) and q.normalize_schema_sql("a\r\n\rb") == "a\n\rb"
+    now = q.default_expression(q.unsafe_schema_sql("postgresql", "now()"))
+    t = q.table("t", {"x": q.integer(), "at": q.timestamp(default=now), "y": q.integer(generated_as=q.unsafe_schema_sql("postgresql", "x + 1"))}, lambda s: {"pk": q.primary_key(s.x), "ok": q.check(raw), "i": q.index(s.x, where=raw)})
+    s = q.schema({"t": t})
+    document = q.create_database_snapshot(s, q.postgres_database)
+    held = document["tables"][0]
+    assert held["constraints"]["ok"]["expression"] == held["indexes"]["i"]["where"] == {"dialect": "postgresql", "sql": "x >\n0"}
+    at, _, y = held["columns"]
+    assert at["default"]["sql"]["sql"] == "now()" and y["generatedAs"] == {"sql": {"dialect": "postgresql", "sql": "x + 1"}, "mode": "stored"}
+    assert q.decode_snapshot(q.encode_snapshot(document)) == document
+    assert q.render_schema_expression(raw, q.postgres_dialect) == "x >\n0"
+    none, bad = q.try_create_database_snapshot(s, q.sqlite_database)
+    assert none is None and sum("SQL of postgresql" in m for _, _, m in bad) == 4
+    with pytest.raises(q.CapabilityError):
+        q.render_schema_expression(raw, q.spark_dialect)
+    with pytest.raises(q.QueryError):
+        sql(q.select({"x": raw}, q.from_(users)))
+    with pytest.raises(q.SchemaError):
+        q.unsafe_schema_sql("postgresql", " ")

@@ -144,13 +144,13 @@ _add("q_lateral", lambda: (lambda t: select({"k": c.c_custkey, "order": t.orderK
      """SELECT c_custkey AS k, o_orderkey AS "order", o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1""")
 _add("q_left_lateral", lambda: (lambda t: select({"k": c.c_custkey, "price": t.price}, from_(c), left_join(t, gt(t.price, 200000))))(lateral(_top(), "t")),
      "SELECT c_custkey AS k, max(CASE WHEN o_totalprice > 200000 THEN o_totalprice END) AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
-_big = lambda: select({"one": lineitem.l_orderkey}, correlate(o, c), from_(lineitem), where(and_(eq(lineitem.l_orderkey, o.o_orderkey), gt(lineitem.l_quantity, 45), lt(lineitem.l_suppkey, add(c.c_nationkey, 20)))))
-_two = lambda fields, *more: select(fields, correlate(c), from_(o), where(and_(eq(o.o_custkey, c.c_custkey), exists(_big()), *more)))
+_large_lines = lambda: select({"one": lineitem.l_orderkey}, correlate(o, c), from_(lineitem), where(and_(eq(lineitem.l_orderkey, o.o_orderkey), gt(lineitem.l_quantity, 45), lt(lineitem.l_suppkey, add(c.c_nationkey, 20)))))
+_served_orders = lambda fields, *more: select(fields, correlate(c), from_(o), where(and_(eq(o.o_custkey, c.c_custkey), exists(_large_lines()), *more)))
 _INNER = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45 AND l_suppkey < c_nationkey + 20)"
-_add("q_two_levels_exists", lambda: select({"k": c.c_custkey}, from_(c), where(exists(_two({"k": o.o_orderkey})))), f"SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_INNER})")
-_add("q_two_levels_not_exists", lambda: select({"k": c.c_custkey}, from_(c), where(not_exists(_two({"k": o.o_orderkey})))), f"SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_INNER})")
-_add("q_two_levels_scalar", lambda: select({"k": c.c_custkey, "n": scalar(_two({"n": count()}, gt(o.o_totalprice, 1000)))}, from_(c)), f"SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND {_INNER} AND o_totalprice > 1000) AS n FROM customer")
-_add("q_two_levels_lateral", lambda: (lambda t: select({"k": c.c_custkey, "n": t.n}, from_(c), cross_join(t)))(lateral(_two({"n": count()}), "t")), f"SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND {_INNER}) AS n FROM customer")
+_add("q_two_levels_exists", lambda: select({"k": c.c_custkey}, from_(c), where(exists(_served_orders({"k": o.o_orderkey})))), f"SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_INNER})")
+_add("q_two_levels_not_exists", lambda: select({"k": c.c_custkey}, from_(c), where(not_exists(_served_orders({"k": o.o_orderkey})))), f"SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_INNER})")
+_add("q_two_levels_scalar", lambda: select({"k": c.c_custkey, "n": scalar(_served_orders({"n": count()}, gt(o.o_totalprice, 1000)))}, from_(c)), f"SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND {_INNER} AND o_totalprice > 1000) AS n FROM customer")
+_add("q_two_levels_lateral", lambda: (lambda t: select({"k": c.c_custkey, "n": t.n}, from_(c), cross_join(t)))(lateral(_served_orders({"n": count()}), "t")), f"SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND {_INNER}) AS n FROM customer")
 _add("q_case_cast_text", lambda: select(
     {"k": p.p_partkey, "band": case_when(lt(p.p_size, 10), "small", case_when(lt(p.p_size, 30), "mid", "big")), "txt": cast(p.p_size, text()), "num": cast(p.p_retailprice, bigint()), "raw": cast(p.p_size, "DOUBLE"), "names": concat(upper(p.p_brand), "-", lower(p.p_type)), "c": coalesce(call("NULLIF", p.p_brand, value("Brand#11"), domain=T.TEXT), "none")}, from_(p),
 ), """SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'big' END AS band, CAST(p_size AS VARCHAR) AS txt, CAST(trunc(p_retailprice) AS BIGINT) AS num,

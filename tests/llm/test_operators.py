@@ -319,6 +319,27 @@ def test_html_text_of_a_site_with_one_article_stays(spark):
     assert {r.text for r in html_text.main_text(pages).collect()} == {"Same\nWords"}
 
 
+def site_texts(spark, n, page):
+    pages = spark.createDataFrame([(i, f"http://s/{i}", page(i)) for i in range(n)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+
+
+def test_html_text_of_one_body_under_many_titles_stays(spark):
+    for tag in ("article", "main"):
+        got = site_texts(spark, 40, lambda i: f"<div>Our menu</div><{tag}><h1>Title {i}</h1><p>Same body</p></{tag}>")
+        assert got == {i: f"Title {i}\nSame body" for i in range(40)}
+
+
+@pytest.mark.parametrize("n", [100, 1000])
+@pytest.mark.parametrize("percent", [80, 82, 98])
+def test_html_text_of_own_bodies_stays_beside_a_repeated_one(spark, n, percent):
+    body = lambda i: "Same body" if i % 100 < percent else f"Own {i}"
+    got = site_texts(spark, n, lambda i: f"<article><h1>Title {i}</h1><p>{body(i)}</p></article>")
+    assert got == {i: f"Title {i}\n{body(i)}" for i in range(n)}
+    got = site_texts(spark, n, lambda i: f"<div class=box><h1>Title {i}</h1><p>{body(i)}</p></div><ul><li>All rights</ul>")  # without an article, what repeats may go
+    assert all(got[i] == f"Title {i}\n{body(i)}" for i in range(n) if i % 100 >= percent)
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, 80) if i % 2 else " | ".join("$$$" for _ in range(60))) for i in range(600)] + [(9001, ""), (9002, None), (None, "x")]

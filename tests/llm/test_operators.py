@@ -340,6 +340,23 @@ def test_html_text_of_own_bodies_stays_beside_a_repeated_one(spark, n, percent):
     assert all(got[i] == f"Title {i}\n{body(i)}" for i in range(n) if i % 100 >= percent)
 
 
+@pytest.mark.parametrize("name", ["with-sidebar", "has-comments", "no-header", "hasSidebar", "page--with-sidebar", "comments-open", "sidebar-layout", "content sidebar"])
+def test_html_class_of_a_wrapper_is_not_boilerplate(name):
+    text = lambda h: html_text.Page(h).main()
+    rest = "<div class='ad-box'>Buy</div><div class='site-header'>Site</div><div id=sidebar2>More</div>"
+    assert text(f"<body><div class='{name}'><p>A story of some words</p>{rest}</div>") == "A story of some words"
+    assert text(f"<body><div id='{name}'>{rest}<div class='{name}'><p>A story of some words</p></div></div>") == "A story of some words"
+    assert text(f"<article class='post {name}'><p>In</p></article><p>Out</p>") == "In"
+
+
+def test_html_named_branches_go_and_formulas_stay():
+    text = lambda h: html_text.Page(h).main()
+    assert text("<p>Short</p><div class='comments'><p>A thread longer than the story</p></div>") == "Short"
+    assert text("<article><p>Short</p><ol class='comment-list'><li>A thread longer than the story</li></ol></article>") == "Short"
+    assert text("<article class='comment'>Me too</article><p>A story</p>") == "A story"
+    assert text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == "So x=2 holds"
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, 80) if i % 2 else " | ".join("$$$" for _ in range(60))) for i in range(600)] + [(9001, ""), (9002, None), (None, "x")]

@@ -51,6 +51,8 @@ def pieces(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         before, here, after = data[:-1], data[1:], np.append(data[2:], np.uint8(0))
+        last = offsets[1:-1] - 2  # a text's last byte has none after it
+        after[last[last >= 0]] = 0
         cut[1:-1] = (here == 32) & (_PLAIN[after] | _PLAIN[before]) | _LETTER[before] & _MARK[here]
         line = np.flatnonzero((here == 10) & _PLAIN[before]) + 1
         cut[line] = True

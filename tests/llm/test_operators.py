@@ -246,6 +246,13 @@ def test_encoder_pieces_equal_whole_texts(monkeypatch):
             assert ids[s:n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_of_a_text_do_not_depend_on_the_next():
+    texts = [b"a  ", b"b", b"", b"c \t ", b"d\n", b"e  ", b"", b"f", b" ", b"g  ", b" h"]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    of = lambda some: token_table.pieces(np.cumsum([0] + [len(t) for t in some]), np.frombuffer(b"".join(some), np.uint8)).tolist()
+    assert of(texts) == [int(at) + p for at, t in zip(offsets, texts) for p in of([t])]
+
+
 def test_mixing(spark, docs):
     got = mixing.mixed(docs).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))

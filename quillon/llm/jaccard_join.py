@@ -13,12 +13,14 @@ never the pairs.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common, words
 from .components import components
@@ -228,13 +230,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, targ
     return named.select("doc_id", F.col("root").alias("class_id"), F.col("node").alias("copy_of"), (F.col("links") + F.col("copies") - 1).alias("n_links")).unionByName(alone)
 
 
-def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose id is the smallest of its class; one row of each id.
+def _with_set(size: int):
+    """Rows with a hash of the text's shingle set as a further column."""
 
-    Rows with a null id link to nothing and stay.
+    def run(batches):
+        for b in common.slices(batches, "text"):
+            sets = _sets(*common.offsets_of(b.column(b.schema.get_field_index("text"))), size)
+            keys = [hashlib.md5(x.tobytes()).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "_set"])
+
+    return run
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose id is the smallest of its class; one row of each id and set of shingles.
+
+    Rows with a null id link to nothing and stay. Rows that share an id are one document to ``near_duplicates``: all
+    of them go where one links to a smaller id. Where the id stays, so do its texts with different sets of shingles;
+    of those with equal ones the smallest text stays, then the row that is the smallest as JSON.
     """
-    kept = common.saved(near_duplicates(docs, threshold).where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = common.saved(near_duplicates(docs, threshold, size).where("doc_id = class_id").select("doc_id").distinct(), "kept")
+    counts = docs.groupBy("doc_id").count().join(kept, "doc_id")
+    named = common.saved(counts.select("doc_id", (F.col("count") > 1).alias("_shared")), "named")
+    rows = docs.join(named, "doc_id")
+    shared = rows.where("_shared").select(*docs.columns)
+    if named.where("_shared").isEmpty():
+        return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    sets = shared.mapInArrow(_with_set(size), StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    whole = F.struct(*docs.columns)
+    least = sets.groupBy("doc_id", "_set").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row")).select("_row.*")
+    return rows.where("NOT _shared").select(*docs.columns).unionByName(least).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

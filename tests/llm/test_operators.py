@@ -158,6 +158,14 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    texts = [(1, "one two three four five six"), (1, "ONE two, three four five six"), (1, "quite another text of some words"), (2, "one two three four five six"), (3, None), (3, ""), (3, "x"), (None, "x")]
+    want = [(1, "ONE two, three four five six"), (1, "quite another text of some words"), (3, None), (3, "x"), (None, "x")]
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame([(i, t, "s") for i, t in texts] * 2, "doc_id long, text string, source string").repartition(n)
+        assert rows_of(jaccard_join.deduplicated(docs)) == sorted([(i, t, "s") for i, t in [*want, (None, "x")]], key=str)
+
+
 def test_prefix_is_shortened_to_the_target():
     assert jaccard_join.prefix_length(0.8, 0.99) == 6 and jaccard_join.prefix_length(0.8, 0.999) == 4
 

@@ -364,7 +364,7 @@ def decode_snapshot(document: str | dict) -> dict:
         for k, c in t["constraints"].items():
             if not set(c.get("columns", [])) <= names[t["name"]]:
                 bad.append(("unknown-column", f"{path}.{k}", str(c["columns"])))
-            if c.get("kind") == "foreign" and not set(c["targetColumns"]) <= names.get(c["target"], set(c["targetColumns"]) if c["target"] not in names else set()):
+            if c.get("kind") == "foreign" and (c["target"] not in names or not set(c["targetColumns"]) <= names[c["target"]]):
                 bad.append(("unknown-target", f"{path}.{k}", c["target"]))
     if bad:
         raise SchemaError(bad)

@@ -269,3 +269,11 @@ def test_schema_sql_of_one_dialect():
         sql(q.select({"x": raw}, q.from_(users)))
     with pytest.raises(q.SchemaError):
         q.unsafe_schema_sql("postgresql", " ")
+
+
+def test_snapshot_with_a_dangling_target_is_refused():
+    users = q.table("users", {"id": q.integer()}, lambda s: {"pk": q.primary_key(s.id)})
+    t = q.table("t", {"a": q.integer()}, lambda s: {"f": q.foreign_key([s.a], q.references(users, "id"))})
+    assert q.decode_snapshot(q.create_snapshot(q.schema({"t": t, "users": users})))
+    with pytest.raises(q.SchemaError, match="unknown-target"):
+        q.decode_snapshot(q.create_snapshot(q.schema({"t": t})))

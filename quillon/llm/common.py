@@ -16,9 +16,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a temporary one where it is unset (tests on one machine)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one if Spark runs in this process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors share no folder for intermediate tables")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="quillon-"))
         base = f"file://{_LOCAL[0]}"
@@ -104,9 +107,30 @@ def offsets_of(col: pa.Array):
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def partitions(spark: SparkSession, rows: int = 0, each: int = 500_000) -> int:
-    """Shuffle partitions: the session's setting, or more where ``rows`` would exceed ``each`` rows a partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+#: Bytes of a stored table that one shuffle partition is to hold at most, on average.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(spark: SparkSession, *frames: DataFrame) -> int:
+    """Shuffle partitions: the session's setting, or more where the stored ``frames`` exceed PARTITION_BYTES each.
+
+    Sizes are Catalyst's, which knows those of the files that a plan reads; where it knows none (rows of an RDD)
+    the setting holds.
+    """
+    known = 0
+    for f in frames:
+        leaves = f._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        known += sum(x for x in sizes if x < 1 << 60)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
+
+
+def fresh(columns, name: str) -> str:
+    """``name``, or a longer one that no column has; names differ by case alone in Spark only if told so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Groups with over 1/HOT of all rows are hot; there are fewer than HOT of them, which bounds what is broadcast.

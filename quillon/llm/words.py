@@ -1,11 +1,13 @@
 """Words and word shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
 A word is a run of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z: ASCII letters and digits and
-everything beyond ASCII. Hashes are polynomial over bytes, so all words of a batch cost a few array passes.
+everything beyond ASCII. All words of a batch are hashed together, eight bytes of each at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -40,7 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c with c[i] the sum of the first i bytes' values times BASE**position."""
+    """c with c[i] the sum of the first i bytes' values times BASE**position; for statistics, as such sums can be made to collide."""
     c = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE[data] * powers(BASE, len(data)), out=c[1:])
     return c
@@ -53,8 +55,13 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(h == 0, U(1), h)
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of each text's first word with the total at the end)."""
+#: Longer words are hashed by BLAKE2b, one at a time.
+LONG = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, start and end of every word, index of each text's first word with the total at the end)."""
     low = LOWER[data]
     flag = IS_WORD[low]
     start, end = flag.copy(), flag.copy()
@@ -65,7 +72,36 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start[inner] = flag[inner]
     end[inner - 1] = flag[inner - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return span_hash(prefix_hash(low), s, e), np.searchsorted(s, offsets)
+    return low, s, e, np.searchsorted(s, offsets)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], never 0: every 8 bytes are mixed into the state, so no polynomial identity collides.
+
+    Different seeds give independent families of hashes.
+    """
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * U(BASE) + U(seed * 0xA24BAED4963EE407 % 2**64 + 1))
+    h = mix(h ^ (eight[start] & _MASKS[np.minimum(size, 8)]))
+    left = np.flatnonzero(size > 8)
+    at = 8
+    while len(left) and at < LONG:
+        chunk = eight[start[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]
+        h[left] = mix((h[left] + U(BASE)) ^ chunk)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return np.where(h == 0, U(1), h)
+
+
+def words(offsets: np.ndarray, data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of each text's first word with the total at the end)."""
+    low, s, e, first = spans(offsets, data)
+    return digests(low, s, e, seed), first
 
 
 #: Multipliers by position in a shingle.

@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,38 +67,45 @@ def pieces(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Token ids by 64-bit hash of a piece, in a few sorted arrays over one pool of ids."""
+    """Token ids by a piece's two 64-bit hashes, in a few arrays sorted by the first one over one pool of ids."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def find(self, keys: np.ndarray):
-        """(start in the pool or -1, number of ids)"""
-        start, n = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for known, s, c in self.levels:
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
+    def find(self, keys: np.ndarray, others: np.ndarray):
+        """(start in the pool, number of ids, whether the piece is known); both hashes must be those of the piece."""
+        start, n, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for first, second, s, c in self.levels:
+            at = np.minimum(np.searchsorted(first, keys), len(first) - 1)
+            hit = (first[at] == keys) & (second[at] == others)
             start[hit], n[hit] = s[at[hit]], c[at[hit]]
-        return start, n
+            known |= hit
+        return start, n, known
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """keys in ascending order"""
-        count = np.array([len(x) for x in ids])
-        flat = np.array([t for x in ids for t in x], np.uint32)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        level = keys, np.cumsum(count) - count + self.used, count
-        self.used += len(flat)
+    def add(self, keys: np.ndarray, others: np.ndarray, ids: list[list[int]]) -> None:
+        """keys in ascending order; of two pieces with an equal first hash the one that comes first is held"""
+        level = keys, others, *self.hold(ids)
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             both = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
-            order = np.argsort(both[0])
+            order = np.argsort(both[0], kind="stable")
             level = tuple(x[order] for x in both)
         self.levels.append(level)
 
 
+    def hold(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in the pool, number of ids) of lists that are put there"""
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        start = np.cumsum(count) - count + self.used
+        self.used += len(flat)
+        return start, count
+
+
 class Encoder:
     """``tokenizers`` over whole texts; for byte-level pre-tokenizers equal pieces are encoded once.
 
@@ -128,15 +138,20 @@ class Encoder:
             return np.array([t for x in ids for t in x], np.uint32), np.cumsum([0] + [len(x) for x in ids])
         start = pieces(offsets, data)
         end = np.append(start[1:], len(data))[: len(start)]
-        keys, lead, of = np.unique(words.span_hash(words.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        first, second = words.digests(data, start, end, 1), words.digests(data, start, end, 2)
+        keys, lead, of = np.unique(first, return_index=True, return_inverse=True)
         if sum(len(x[0]) for x in self.cache.levels) > CACHE_PIECES:
             self.cache = Cache()
-        at, n = self.cache.find(keys)
-        new = np.flatnonzero(at < 0)
+        piece = lambda i: raw[start[i] : end[i]].decode("utf-8", "replace")
+        at, n, known = self.cache.find(keys, second[lead])
+        new = np.flatnonzero(~known)
         if len(new):
-            self.cache.add(keys[new], self._raw([raw[s:e].decode("utf-8", "replace") for s, e in zip(start[lead[new]].tolist(), end[lead[new]].tolist())]))
-            at, n = self.cache.find(keys)
+            self.cache.add(keys[new], second[lead[new]], self._raw([piece(i) for i in lead[new].tolist()]))
+            at, n, known = self.cache.find(keys, second[lead])
         at, n = at[of], n[of]
+        odd = np.flatnonzero(~known[of] | (second != second[lead][of]))  # the first hash is another piece's too
+        if len(odd):
+            at[odd], n[odd] = self.cache.hold(self._raw([piece(i) for i in odd.tolist()]))
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.cache.pool[np.arange(upto[-1]) - np.repeat(upto[:-1] - at, n)]
         return ids, upto[np.searchsorted(start, offsets)]
@@ -170,8 +185,11 @@ def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key[1:9])[0] - (1 << 63) if key[0] else None
 
 
+_SECOND = 0x9E3779B9
+
+
 def _bloom_bits(key: bytes, size: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = zlib.crc32(key), zlib.crc32(key, _SECOND) | 1
     return [(a + i * b) % size for i in range(HASHES)]
 
 
@@ -183,7 +201,7 @@ class Writer:
 
         self.pack = zstandard.ZstdCompressor(level=3).compress
         self.block, self.held, self.last = [], 0, b""
-        self.index, self.at, self.ids, self.tokens = [], 0, [], 0
+        self.index, self.at, self.tokens, self.entries, self.prints = [], 0, 0, 0, array("Q")
 
     def add(self, key: bytes, ids: bytes) -> bytes:
         """Add ids (32-bit each); returns a finished block or nothing."""
@@ -196,8 +214,10 @@ class Writer:
                 shared += 1
         self.block.append(varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value)
         self.held += len(value) + len(key)
+        if self.entries == 0 or key[:9] != self.last[:9]:
+            self.prints.append(zlib.crc32(key[:9]) << 32 | zlib.crc32(key[:9], _SECOND))
+        self.entries += 1
         self.last = key
-        self.ids.append(key[:9])
         return self.flush() if self.held >= BLOCK_BYTES else b""
 
     def flush(self) -> bytes:
@@ -212,12 +232,14 @@ class Writer:
     def finish(self) -> bytes:
         tail = self.flush()
         index = self.pack(b"".join(self.index))
-        bits = max(64, BITS_PER_KEY * len(self.ids)) + 7 & ~7
+        prints = np.frombuffer(self.prints, np.uint64) if self.prints else np.zeros(0, np.uint64)
+        bits = max(64, BITS_PER_KEY * len(prints)) + 7 & ~7
         bloom = np.zeros(bits, bool)
-        for k in dict.fromkeys(self.ids):
-            bloom[_bloom_bits(k, bits)] = True
+        a, b = prints >> np.uint64(32), prints & np.uint64(0xFFFFFFFF) | np.uint64(1)
+        for i in range(HASHES):
+            bloom[(a + np.uint64(i) * b) % np.uint64(bits)] = True
         packed = np.packbits(bloom).tobytes()
-        return tail + index + packed + FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), len(self.ids), self.tokens, MAGIC)
+        return tail + index + packed + FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), self.entries, self.tokens, MAGIC)
 
 
 class Table:
@@ -261,8 +283,6 @@ class Table:
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Token ids of every entry with this id: Bloom filter, binary search in the index, then its blocks."""
-        from bisect import bisect_left
-
         want = key_of(doc_id, 0)[:9]
         if not self.bloom[_bloom_bits(want, len(self.bloom))].all():
             return []
@@ -285,25 +305,27 @@ def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches):
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
-        encoder, writer, state = _ENCODERS[tokenizer], Writer(), {"last": 0, "repeat": 0, "first": None, "n": 0}
+        encoder, writer, ends = _ENCODERS[tokenizer], Writer(), []
 
         def parts():
+            last = repeat = 0
             for b in common.slices(batches, "text", 4 << 20):
                 ids, first = encoder.encode(*common.offsets_of(b.column(1)))
                 wide = ids.astype("<u4").tobytes()
                 for doc, s, e in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
-                    raw = wide[4 * s : 4 * e]
-                    state["repeat"] = state["repeat"] + 1 if state["n"] and doc == state["last"] else 0
-                    state["last"] = doc
-                    state["n"] += 1
-                    yield writer.add(key_of(doc, state["repeat"]), raw + end)
+                    repeat = repeat + 1 if writer.entries and doc == last else 0
+                    last = doc
+                    key = key_of(doc, repeat)
+                    ends[:] = [ends[0] if ends else key[:9], key[:9]]
+                    yield writer.add(key, wide[4 * s : 4 * e] + end)
             yield writer.finish()
 
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         uri = common.write_file(folder, f"shard-{shard:06d}", parts())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri], "entries": pa.array([state["n"]], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
+        first, last = ends or (None, None)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri], "entries": pa.array([writer.entries], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary())})
 
     return run
 
@@ -311,15 +333,16 @@ def _write(folder: str, tokenizer: str, end_id: int):
 def write_token_tables(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Encode every whole text, append ``end_id``, and write shards in ascending id order; returns their manifest.
 
-    Manifest rows (shard, uri, entries, tokens, start) are written to the shared folder, so shards of lost or
-    repeated attempts are never read. start is the number of ids in the shards before. A null text is empty, a
-    null id comes first, rows that repeat an id follow each other in order of their texts.
+    Manifest rows (shard, uri, entries, tokens, first, last, start) are written to the shared folder, so shards of
+    lost or repeated attempts are never read. first and last are keys, start is the number of ids in the shards
+    before. A null text is empty, a null id comes first, rows that repeat an id follow each other in order of a
+    hash of their texts.
     """
     spark = docs.sparkSession
     folder = common.scratch(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    shards = common.saved(dealt.mapInArrow(_write(folder, tokenizer, end_id), "shard long, uri string, entries long, tokens long"), "manifest")
+    dealt = rows.repartitionByRange(common.partitions(spark, docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    shards = common.saved(dealt.mapInArrow(_write(folder, tokenizer, end_id), "shard long, uri string, entries long, tokens long, first binary, last binary"), "manifest")
     # One row for each shard: their running total is small whatever the corpus.
     return shards.selectExpr("*", "coalesce(sum(tokens) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
 
@@ -349,21 +372,43 @@ def read_token_tables(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Token ids (doc_id, ids) of the asked ids; every shard's Bloom filter and index decide which blocks are read.
+    """Token ids (doc_id, ids) of the asked ids, a row for each entry of an id; ids that aren't there give none.
 
-    ``doc_ids`` is grouped into blocks of 100,000 ids, so no task holds an unbounded list.
+    The ranges of the shards, a row each, are sent to the tasks; every asked id goes to the shards whose range it is
+    in, in whatever number, and is looked up there one after the other: Bloom filter, block index, block.
     """
-    ask = doc_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    blocks = ask.withColumn("block", F.spark_partition_id()).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64))).groupBy("block", "part").agg(F.collect_list("doc_id").alias("want"))
+    spark = manifest.sparkSession
+    ranges = [(bytes(r["first"]), bytes(r["last"]), r["uri"]) for r in manifest.where("entries > 0").orderBy("shard").select("first", "last", "uri").toLocalIterator()]
+    firsts, lasts = [r[0] for r in ranges], [r[1] for r in ranges]
+
+    def dealt(batches):
+        for b in batches:
+            found = []
+            for d in b.column(0).to_pylist():
+                want = key_of(d, 0)[:9]
+                found += [(r[2], d) for r in ranges[bisect_left(lasts, want) : bisect_right(firsts, want)]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], ["uri", "doc_id"])
 
     def run(batches):
+        table, last = None, None
         for b in batches:
-            for uri, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = Table(uri)
-                hits = [(d, ids.tolist()) for d in want for ids in t.get(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.list_(pa.int64()))], ["doc_id", "ids"])
+            hits = []
+            for uri, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if uri != last:
+                    table, last = Table(uri), uri
+                hits += [(d, ids) for ids in table.get(d)]
+                if sum(len(h[1]) for h in hits[-100:]) > 1 << 20 or len(hits) > 10_000:
+                    yield _found(hits)
+                    hits = []
+            yield _found(hits)
+
+    ask = doc_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    near = ask.mapInArrow(dealt, "uri string, doc_id long").repartitionByRange(common.partitions(spark, doc_ids), "uri", "doc_id").sortWithinPartitions("uri", "doc_id")
+    return near.mapInArrow(run, "doc_id long, ids array<long>")
+
 
-    return manifest.select("uri").join(blocks.select("want")).mapInArrow(run, "doc_id long, ids array<long>")
+def _found(hits):
+    return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1].astype(np.int64) for h in hits], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int) -> Dat
 
     A target is its weight's share of all sizes, at most max_epochs times the source's size; what is cut off is
     shared by weight among the rest until none is above. With the sources in order of size / weight, the share
-    per weight is settled at the first source that it does not fill.
+    per weight is settled at the first source that it does not fill. One task orders the sources, a row each: they
+    are to be thousands or millions, not as many as documents.
     """
     cap = F.col("source_size") * max_epochs
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -103,13 +104,16 @@ def mixed(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3
 def repeated(docs: DataFrame, weights: list[int] | None = None, max_epochs: int = 3, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs``, all their columns, each as often as the mix takes it.
 
-    The finish times of a source need no text, so only the cut is looked up: by (id, text) hash a row finds how
-    many passes take it. Rows that repeat id and text are taken equally often.
+    The finish times of a source need no text, so only the cut is looked up: by a digest of (id, source, text), nulls
+    told from empty values, a row finds how many passes take it. Rows that repeat all three are taken equally often.
+    Other columns may have any names.
     """
-    key = F.xxhash64(F.col(id_col), F.col(source), F.col(text))
-    plan = mixed(docs.withColumn("_key", key), weights, max_epochs, text=text, id_col=id_col, source=source, carry="_key")
-    times = plan.where("taken > 0").select("_key", (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["_key"])
-    return docs.withColumn("_key", key).join(times, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    key, times, turn = (common.fresh(docs.columns, name) for name in ("_key", "_times", "_pass"))
+    keyed = docs.withColumn(key, F.md5(F.concat(part(id_col), part(source), part(text)).cast("binary")))
+    plan = mixed(keyed, weights, max_epochs, text=text, id_col=id_col, source=source, carry=key)
+    taken = plan.where("taken > 0").select(key, (F.col("taken") / F.col("size")).cast("int").alias(times)).dropDuplicates([key])
+    return keyed.join(taken, key).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

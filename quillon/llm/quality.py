@@ -176,14 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     """Trees for P(label = 1), learned from labelled rows outside held_out().
 
     Of repeated labels of an id the mean decides (0.5 counts as 1); null labels and ids are no labels. At most
-    ``train_rows`` labels, those with the smallest hashes of their ids, are looked up among the documents; so
-    what is broadcast and what reaches the driver is bounded by that parameter.
+    ``train_rows`` labels, those with the smallest hashes of their ids, are looked up among the documents, and of
+    rows that share an id the one whose text has the smallest hash is learned from; so what is broadcast and what
+    reaches the driver is bounded by that parameter.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     chosen = common.saved(known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows), "labels")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")
-    got = rows.mapInArrow(_measure, "label int, x array<double>").toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    # One row for each id is kept before anything is collected; rows are combined where they lie.
+    one = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "label", "text")).alias("row")).select("row.label", "row.text")
+    got = one.mapInArrow(_measure, "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     y = np.array(got.column("label").to_pylist(), float)
     order = np.lexsort([*x.T, y])  # the same trees whatever the order of the rows

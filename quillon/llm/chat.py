@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Turns in one rendered part; a longer conversation has several parts.
+#: Turns that are joined to one text at once; the texts of a longer conversation are joined in a second step.
 TURNS = 256
 
 
@@ -34,7 +34,7 @@ def _content(role: str, text: str):
 def numbered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, content -> also piece, pos (from 1) and a, b: the rolling hashes up to this turn."""
     spark = turns.sparkSession
-    ranged = turns.repartitionByRange(common.partitions(spark), "conv_id", "turn", "content").withColumn("piece", F.spark_partition_id())
+    ranged = turns.repartitionByRange(common.partitions(spark, turns), "conv_id", "turn", "content").withColumn("piece", F.spark_partition_id())
     ranged = common.saved(ranged, "turns")  # the pieces are fixed from here on
     here = Window.partitionBy("piece", "conv_id").orderBy("turn", "content")
     local = ranged.withColumn("local", F.row_number().over(here))
@@ -69,14 +69,15 @@ def _proper(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(last, F.col("x.conv_id").eqNullSafe(F.col("c")) & (F.col("x.pos") == F.col("n")), "left_anti").select("pos", "a", "b").distinct()
 
 
-def chat_format(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", turns: int = TURNS) -> DataFrame:
-    """conv_id, part, n_turns, copies, text: maximal conversations, rendered in parts of ``turns`` turns.
+def chat_format(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
+    """conv_id, n_turns, copies, text: a row for each maximal conversation, with its whole rendering.
 
-    A turn is rendered as start + role + newline + text + end + newline; the parts of a conversation joined in
-    order are its rendering (most have one part). copies counts the equal conversations a row stands for.
-    Turns are ordered by turn (null first), then by a hash of role and text. Rows that repeat conversation,
-    turn, role and text are one turn. Null roles and texts render as empty but differ from empty ones. A null
-    conv_id is one conversation, and stays only if no other is equal. An empty table gives no rows.
+    A turn is rendered as start + role + newline + text + end + newline. copies counts the equal conversations a row
+    stands for. Turns are ordered by turn (null first), then by a hash of role and text. Rows that repeat
+    conversation, turn, role and text are one turn. Null roles and texts render as empty but differ from empty ones.
+    A null conv_id is one conversation, and stays only if no other is equal. An empty table gives no rows; other
+    columns are not read. Parts of TURNS turns are rendered in tasks of their own, so what meets in one task is a
+    conversation's text, which as one value has to fit in a task anyway (2 GB is Spark's limit for a string).
     """
     rows = conversations.select("conv_id", "turn", "role", "text", _content("role", "text").alias("content"))
     rolled = common.saved(numbered(rows.select("conv_id", "turn", "content").distinct()), "rolled")
@@ -88,9 +89,10 @@ def chat_format(conversations: DataFrame, start: str = "<|im_start|>", end: str
     t = rows.alias("t")
     same = F.col("c.conv_id").eqNullSafe(F.col("t.conv_id")) & F.col("c.turn").eqNullSafe(F.col("t.turn")) & (F.col("c.content") == F.col("t.content"))
     said = F.concat(F.lit(start), F.coalesce("t.role", F.lit("")), F.lit("\n"), F.coalesce("t.text", F.lit("")), F.lit(end + "\n"))
-    lines = chosen.join(t, same).select("c.conv_id", F.floor((F.col("pos") - 1) / turns).cast("long").alias("part"), "pos", "n_turns", "copies", said.alias("said"))
-    parts = lines.groupBy("conv_id", "part", "n_turns", "copies").agg(F.sort_array(F.collect_set(F.struct("pos", "said"))).alias("lines"))
-    return parts.select("conv_id", "part", F.col("n_turns").cast("long"), "copies", F.concat_ws("", F.col("lines.said")).alias("text"))
+    lines = chosen.join(t, same).select("c.conv_id", F.floor((F.col("pos") - 1) / TURNS).cast("long").alias("part"), "pos", "n_turns", "copies", said.alias("said"))
+    parts = lines.groupBy("conv_id", "part", "n_turns", "copies").agg(F.sort_array(F.collect_set(F.struct("pos", "said"))).alias("lines")).withColumn("text", F.concat_ws("", F.col("lines.said"))).drop("lines")
+    whole = parts.groupBy("conv_id", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
+    return whole.select("conv_id", F.col("n_turns").cast("long"), "copies", F.concat_ws("", F.col("parts.text")).alias("text"))
 
 
 def op1_chat(spark, sf_dir: str) -> DataFrame:
@@ -105,7 +107,5 @@ c AS (SELECT conv_id, list(content ORDER BY turn NULLS FIRST, content) AS l,
 one AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies, any_value(said) AS said FROM c GROUP BY l),
 prefixes AS (SELECT DISTINCT l[:n] AS l FROM (SELECT l, unnest(range(1, len(l))) AS n FROM c)),
 kept AS (SELECT * FROM one WHERE l NOT IN (SELECT l FROM prefixes))
-SELECT conv_id, CAST(part AS BIGINT) AS part, CAST(len(l) AS BIGINT) AS n_turns, copies,
-       array_to_string(said[part * 256 + 1:part * 256 + 256], '') AS text
-FROM (SELECT *, unnest(range(0, (len(l) + 255) // 256)) AS part FROM kept)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, copies, array_to_string(said, '') AS text FROM kept
 """

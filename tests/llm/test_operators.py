@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import chat, common, components, decontaminate, exact_dedup, html_text, jaccard_join, mixing, quality, suffix_dedup, token_table, warc, words
 
@@ -405,11 +406,11 @@ def test_chat(spark):
     rows += [(6, 0, "user", "a"), (6, 1, "assistant", "x"), (7, None, "", ""), (8, None, None, None), (2, 0, "user", "a"), (9, 0, "user", "aa")]
     rows += [(10, i, "user", f"turn {i}") for i in range(600)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    got = {(r.conv_id, r.part): r for r in chat.chat_format(turns).collect()}
-    assert {k[0] for k in got} == {2, 6, 7, 8, 9, 10} and got[2, 0].copies == 2
-    assert got[2, 0].text == "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in talk)
-    assert sorted(k[1] for k in got if k[0] == 10) == [0, 1, 2]
-    assert "".join(got[10, p].text for p in range(3)) == "".join(f"<|im_start|>user\nturn {i}<|im_end|>\n" for i in range(600))
+    turns = turns.withColumn("part", F.lit(1)).withColumn("pos", F.lit("x")).withColumn("copies", F.lit(None).cast("int"))  # names that the operator uses itself
+    got = {r.conv_id: r for r in chat.chat_format(turns).collect()}
+    assert set(got) == {2, 6, 7, 8, 9, 10} and got[2].copies == 2 and got[10].n_turns == 600
+    assert got[2].text == "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in talk)
+    assert got[10].text == "".join(f"<|im_start|>user\nturn {i}<|im_end|>\n" for i in range(600))
     assert chat.chat_format(turns.limit(0)).count() == 0
 
 
@@ -428,3 +429,74 @@ def test_attach_broadcasts_only_hot_groups(spark, monkeypatch):
     groups = common.saved(rows.groupBy("k").count(), "g")
     out = common.attach(rows, groups, ["k"], "count", 50_000)
     assert out.count() == 50_000 and out.where("k = 0").select("count").distinct().collect()[0][0] == 25_000
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_texts_that_collide_under_polynomial_hashes(spark, n):
+    import public_tokenizers
+
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    offsets, data = np.array([0, n, 2 * n]), np.frombuffer((one + two).encode(), np.uint8)
+    h, _ = words.words(offsets, data)
+    assert h[0] != h[1] and words.words(offsets, data, 1)[0][0] != h[0]
+    e = token_table.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, first = e.encode(offsets, data)
+    assert [ids[s:t].tolist() for s, t in zip(first, first[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} x"), (4, f"x {one * 2}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+    assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(docs).collect()} == dict.fromkeys(range(1, 5), 0)
+    assert rows_of(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs.collect(), 200)
+
+
+def test_pieces_whose_first_hash_is_equal(monkeypatch):
+    import public_tokenizers
+
+    e = token_table.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    digests = words.digests
+    monkeypatch.setattr(words, "digests", lambda d, s, t, seed=0: digests(d, s, t, seed) % np.uint64(7) + np.uint64(1) if seed == 1 else digests(d, s, t, seed))
+    texts = ["some words of a text and more of them", "other words altogether, in another text"] * 2
+    for _ in range(2):
+        raw = [t.encode() for t in texts]
+        ids, first = e.encode(np.cumsum([0] + [len(r) for r in raw]), np.frombuffer(b"".join(raw), np.uint8))
+        assert [ids[s:t].tolist() for s, t in zip(first, first[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_mix_tells_nulls_apart_and_keeps_columns_of_its_own_names(spark):
+    rows = [(1, None, "a b c", 1, "p"), (1, "a b c", None, 2, "q"), (2, "d e f g", "s", 3, "r"), (2, "", None, 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _times int, _key string").withColumn("_pass", F.lit(9)).withColumn("size", F.lit("z"))
+    taken = {(r.doc_id, r.source): r.taken // max(r.size, 1) for r in mixing.mixed(docs).collect() if r.size}
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(str(r) for r in rows for _ in range(taken.get((r[0], r[2]), 0) if r[1] else 0))
+
+
+def test_lookup_over_shards(spark, docs):
+    import public_tokenizers
+
+    many = spark.range(3000).selectExpr("cast(id div 2 as long) as doc_id", "concat('text ', id) as text")
+    manifest = token_table.write_token_tables(many, public_tokenizers.path("byte_bpe_50k.json"))
+    assert manifest.count() == 8
+    asked = spark.range(0, 2000, 3).selectExpr("id as doc_id").unionByName(spark.sql("select cast(null as long) as doc_id"))
+    got = {}
+    for r in token_table.lookup(manifest, asked).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: 2 for i in range(0, 1500, 3)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)

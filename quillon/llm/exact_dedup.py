@@ -4,9 +4,12 @@ Each input partition first runs its rows through a local index, which combines c
 left (one row per distinct digest and partition) is dealt out by digest to index shards. So a group that holds
 a third of the corpus arrives at its shard as one row per input partition, and no task sees its rows.
 
-In an index, a cuckoo filter of 16-bit fingerprints answers for most new digests that they are new. A hit is
-verified against the full digests stored by bucket (SHA-256 of the whole normalised text). Inserting into a
-full filter doubles it from the stored keys. Deleting a live digest removes its key and one fingerprint.
+In an index, a cuckoo filter of 16-bit fingerprints decides first: a digest whose fingerprint isn't there is new
+and is stored without a look at what is stored. A hit is verified against the bucketed content: the entries (SHA-256
+of the whole normalised text, and the row that stays) are chained by the filter's bucket of their key, and only that
+chain is compared. Inserting into a full filter doubles it and its buckets from the stored keys. Deleting a live
+digest takes its entry from the chain and one fingerprint from the filter. Entries are rows of numpy arrays, some 70
+bytes each; shards grow in number with the documents (``common.partitions``).
 """
 
 from __future__ import annotations
@@ -87,60 +90,115 @@ class CuckooFilter:
         return False
 
 
+NO_ID = np.iinfo(np.int64).max
+
+
 class CuckooIndex:
-    """Live digests with a count and the best row (most code points, then smallest id) of each."""
-
-    def __init__(self):
-        self.filter = CuckooFilter()
-        self.buckets: dict[bytes, list] = {}
-        self.resizes = 0
-
-    @staticmethod
-    def key(digests: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(digests.view(np.uint8).reshape(-1, 32)[:, :8]).view(np.uint64).ravel()
-
-    def add(self, digests: np.ndarray, points: list, ids: list, counts: list) -> None:
-        """Insert rows; digests is an array of dtype V32."""
-        maybe = self.filter.contains(self.key(digests))
-        fresh: dict[bytes, int] = {}
-        for i, (d, hit) in enumerate(zip(digests.tolist(), maybe.tolist())):
-            d = bytes(d)
-            live = self.buckets.get(d) if hit or d in fresh else None  # a hit is verified by the stored digest
-            if live is None:
-                self.buckets[d] = [points[i], ids[i], counts[i]]
-                fresh[d] = i
-            else:
-                live[2] += counts[i]
-                if better(points[i], ids[i], live[0], live[1]):
-                    live[0], live[1] = points[i], ids[i]
-        if fresh and not self.filter.insert(self.key(digests[list(fresh.values())])):
+    """Live digests with a count and the best row (most code points, then smallest id, NO_ID for a null one) of each."""
+
+    def __init__(self, buckets: int = 1024):
+        self.filter = CuckooFilter(buckets)
+        self.used = self.resizes = 0
+        self.digest = np.zeros((1024, 4), np.uint64)
+        self.points, self.ids, self.count, self.next = (np.zeros(1024, np.int64) for _ in range(4))
+        self.live = np.zeros(1024, bool)
+        self.head = np.full(len(self.filter.table), -1)
+
+    def __len__(self):
+        return int(self.live[: self.used].sum())
+
+    def _bucket(self, digests: np.ndarray) -> np.ndarray:
+        return (digests[:, 0] & np.uint64(len(self.head) - 1)).astype(np.int64)
+
+    def find(self, digests: np.ndarray) -> np.ndarray:
+        """The entry of every digest (rows of four 64-bit numbers), -1 for those that aren't live."""
+        found = np.full(len(digests), -1)
+        ask = np.flatnonzero(self.filter.contains(digests[:, 0]))  # what the filter doesn't know isn't looked for
+        at = self.head[self._bucket(digests[ask])]
+        while len(ask):
+            ask, at = ask[at >= 0], at[at >= 0]
+            same = (self.digest[at] == digests[ask]).all(axis=1)
+            found[ask[same]] = at[same]
+            ask, at = ask[~same], self.next[at[~same]]
+        return found
+
+    def add(self, digests: np.ndarray, points: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Insert rows, or count them with the live digest that they repeat."""
+        if not len(digests):
+            return
+        order = np.lexsort((ids, -points, *digests.T))
+        digests, points, ids, counts = digests[order], points[order], ids[order], counts[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (digests[1:] != digests[:-1]).any(axis=1)
+        lead = np.flatnonzero(new)
+        digests, points, ids, counts = digests[lead], points[lead], ids[lead], np.add.reduceat(counts, lead)
+        at = self.find(digests)
+        hit = at >= 0
+        old = at[hit]
+        self.count[old] += counts[hit]
+        win = better(points[hit], ids[hit], self.points[old], self.ids[old])
+        self.points[old[win]], self.ids[old[win]] = points[hit][win], ids[hit][win]
+        self._store(digests[~hit], points[~hit], ids[~hit], counts[~hit])
+
+    def _store(self, digests, points, ids, counts) -> None:
+        end = self.used + len(digests)
+        while end > len(self.live):
+            for name in ("digest", "points", "ids", "count", "next", "live"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
+        own = slice(self.used, end)
+        self.digest[own], self.points[own], self.ids[own], self.count[own], self.live[own] = digests, points, ids, counts, True
+        fresh = np.arange(self.used, end)
+        self.used = end
+        if self.filter.insert(digests[:, 0]):
+            self._chain(fresh)
+        else:
             self.resize()
 
+    def _chain(self, entries: np.ndarray) -> None:
+        """Put entries at the heads of their buckets' chains."""
+        bucket = self._bucket(self.digest[entries])
+        order = np.argsort(bucket, kind="stable")
+        entries, bucket = entries[order], bucket[order]
+        first = np.ones(len(entries), bool)
+        first[1:] = bucket[1:] != bucket[:-1]
+        self.next[entries] = np.where(first, self.head[bucket], np.concatenate([[-1], entries[:-1]]) if len(entries) else entries)
+        last = np.append(first[1:], True) if len(entries) else first
+        self.head[bucket[last]] = entries[last]
+
     def resize(self) -> None:
-        """A larger filter from the stored keys."""
-        keys = self.key(np.frombuffer(b"".join(self.buckets), "V32"))
+        """A larger filter, and its buckets' chains, from the stored keys."""
+        kept = np.flatnonzero(self.live[: self.used])
         size = len(self.filter.table)
         while True:
             size *= 2
             self.resizes += 1
             self.filter = CuckooFilter(size)
-            if self.filter.insert(keys):
-                return
+            if self.filter.insert(self.digest[kept, 0]):
+                break
+        self.head = np.full(len(self.filter.table), -1)
+        self._chain(kept)
 
-    def delete(self, digest: bytes) -> bool:
+    def delete(self, digest: np.ndarray) -> bool:
         """Withdraw a live digest; False if it isn't live."""
-        key = np.frombuffer(digest, np.uint64)[:1]
-        if not self.filter.contains(key)[0] or digest not in self.buckets:
+        at = int(self.find(digest[None])[0])
+        if at < 0:
             return False
-        del self.buckets[digest]
-        return self.filter.delete(int(key[0]))
+        bucket = int(self._bucket(digest[None])[0])
+        before = int(self.head[bucket])
+        if before == at:
+            self.head[bucket] = self.next[at]
+        else:
+            while self.next[before] != at:
+                before = int(self.next[before])
+            self.next[before] = self.next[at]
+        self.live[at] = False
+        return self.filter.delete(int(digest[0]))
 
 
-def better(points, doc, points2, doc2) -> bool:
-    """Whether the first row stays rather than the second; a null id comes last."""
-    if points != points2:
-        return points > points2
-    return doc is not None and (doc2 is None or doc < doc2)
+def better(points, doc, points2, doc2):
+    """Whether the first row stays rather than the second; NO_ID comes last."""
+    return (points > points2) | (points == points2) & (doc < doc2)
 
 
 KEYS = "digest binary, points long, doc_id long, n long"
@@ -148,19 +206,28 @@ KEYS = "digest binary, points long, doc_id long, n long"
 
 def _combine(batches):
     """Rows of KEYS through one index; a row with n = 0 withdraws its digest."""
-    index, gone = CuckooIndex(), set()
+    index, gone = CuckooIndex(), []
     for b in batches:
-        digest, points, ids, n = (b.column(i) for i in range(4))
-        data = np.frombuffer(b"".join(digest.to_pylist()), "V32")
-        n = n.to_pylist()
-        gone.update(bytes(data[i]) for i, x in enumerate(n) if x == 0)
-        index.add(data, points.to_pylist(), ids.to_pylist(), n)
+        digests = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, 4)
+        points, ids, n = (b.column(i).fill_null(NO_ID).to_numpy() for i in (1, 2, 3))
+        gone.append(digests[n == 0])
+        index.add(digests, points, ids, n)
+    gone = np.unique(np.concatenate(gone), axis=0) if gone else np.zeros((0, 4), np.uint64)
     for d in gone:
         index.delete(d)
-    rows = [(d, *v) for d, v in index.buckets.items()] + [(d, 0, None, 0) for d in gone]
-    for at in range(0, len(rows), 50_000):
-        cols = list(zip(*rows[at : at + 50_000]))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary())] + [pa.array(c, pa.int64()) for c in cols[1:]], ["digest", "points", "doc_id", "n"])
+    kept = np.flatnonzero(index.live[: index.used])
+    for at in range(0, len(kept), 50_000):
+        rows = kept[at : at + 50_000]
+        yield _rows(index.digest[rows], index.points[rows], index.ids[rows], index.count[rows])
+    for at in range(0, len(gone), 50_000):
+        none = np.zeros(len(gone[at : at + 50_000]), np.int64)
+        yield _rows(gone[at : at + 50_000], none, none + NO_ID, none)
+
+
+def _rows(digests, points, ids, counts):
+    raw = digests.tobytes()
+    column = pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary())
+    return pa.RecordBatch.from_arrays([column, pa.array(points), pa.array(ids, mask=ids == NO_ID), pa.array(counts)], ["digest", "points", "doc_id", "n"])
 
 
 def keyed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -170,13 +237,16 @@ def keyed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 
 def live_digests(docs: DataFrame, withdrawn: DataFrame | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The index as a table: digest, points and doc_id of the row that stays, n rows; withdrawn texts are not live."""
+    """The index as a table: digest, points and doc_id of the row that stays, n rows; withdrawn texts are not live.
+
+    An id of 2**63 - 1 counts as null here.
+    """
     spark = docs.sparkSession
     rows = keyed(docs, text, id_col).select("digest", "points", F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n"))
     if withdrawn is not None:
         rows = rows.unionByName(keyed(withdrawn.withColumn("_none", F.lit(None).cast("long")), text, "_none").select("digest", "points", "doc_id", F.lit(0).cast("long").alias("n")))
     local = rows.mapInArrow(_combine, KEYS)
-    return local.repartition(common.partitions(spark), "digest").mapInArrow(_combine, KEYS).where("n > 0")
+    return local.repartition(common.partitions(spark, docs), "digest").mapInArrow(_combine, KEYS).where("n > 0")
 
 
 

@@ -66,19 +66,34 @@ def test_withdrawn_texts_are_not_live(spark, docs):
     assert out[10].kept
 
 
-def test_cuckoo_filter_inserts_deletes_and_resizes():
+def test_cuckoo_index_inserts_deletes_and_resizes():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)
-    index = exact_dedup.CuckooIndex()
-    digests = np.frombuffer(b"".join(hashlib.sha256(k.tobytes()).digest() for k in keys), "V32")
-    for at in range(0, len(keys), 1000):
-        index.add(digests[at : at + 1000], [1] * 1000, list(range(at, at + 1000)), [1] * 1000)
-    assert index.resizes > 0 and len(index.buckets) == 20_000
-    assert index.filter.contains(index.key(digests)).all()
-    for d in digests[:5000].tolist():
-        assert index.delete(bytes(d)) and not index.delete(bytes(d))
-    assert index.filter.contains(index.key(digests[5000:])).all()
-    assert index.filter.contains(index.key(digests[:5000])).mean() < 0.01
+    digests = np.frombuffer(b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(20_000)), np.uint64).reshape(-1, 4)
+    index, one = exact_dedup.CuckooIndex(), np.ones(1000, np.int64)
+    for at in range(0, len(digests), 1000):
+        index.add(digests[at : at + 1000], one, np.arange(at, at + 1000), one)
+    again = rng.permutation(20_000)[:3000]
+    index.add(digests[again], np.full(3000, 2), again, np.full(3000, 5))
+    assert index.resizes > 0 and len(index) == 20_000
+    at = index.find(digests)
+    assert (index.digest[at] == digests).all() and (index.ids[at] == np.arange(20_000)).all()
+    assert (index.count[at[again]] == 6).all() and (index.points[at[again]] == 2).all() and index.count[: index.used].sum() == 35_000
+    for d in digests[:5000]:
+        assert index.delete(d) and not index.delete(d)
+    assert (index.find(digests[5000:]) >= 0).all() and (index.find(digests[:5000]) < 0).all()
+    assert index.filter.contains(digests[:5000, 0]).mean() < 0.01
+    index.add(digests[:10], one[:10], np.arange(10), one[:10])
+    assert len(index) == 15_010
+
+
+def test_cuckoo_hits_are_verified_by_content():
+    """Digests with one 64-bit key share the fingerprint and the bucket; only their content tells them apart."""
+    digests = np.array([[7, 0, 0, i] for i in range(6)], np.uint64)
+    index = exact_dedup.CuckooIndex(8)
+    for i in range(6):
+        index.add(digests[[i, i]], np.array([1, 3]), np.array([10 + i, exact_dedup.NO_ID]), np.array([1, 1]))
+    assert len(index) == 6 and (index.ids[index.find(digests)] == exact_dedup.NO_ID).all() and (index.count[index.find(digests)] == 2).all()
+    assert index.delete(digests[3]) and (index.find(digests) >= 0).tolist() == [True, True, True, False, True, True]
 
 
 def windows_of(items):

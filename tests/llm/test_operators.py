@@ -132,6 +132,30 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     spans = decontaminate.contamination(docs, bench, spans=True).where("n_hit > 20").select("doc_id", "n_hit", "matches").collect()
     assert spans and all(max(m.n_words for m in s.matches) <= s.n_hit for s in spans)
+    texts = {r.doc_id: WORD.findall(lower(r.text)) for r in every}
+    for s in decontaminate.contamination(docs, bench, spans=True).where("doc_id is not null").collect():
+        best = 0
+        for item, t in {(str(i), t) for i, t in items}:
+            a, b = WORD.findall(lower(t)), texts[s.doc_id]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                        n = 0
+                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                            n += 1
+                        if n >= min(10, len(a)):
+                            best = max(best, n)
+                            assert any((m.item_pos, m.doc_pos, m.n_words) == (i, j, n) for m in s.matches)
+        assert s.longest == best == max([0, *(m.n_words for m in s.matches)])
+
+
+def test_suffix_array_is_that_of_brute_force():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 3, 5, 10):
+        h = rng.integers(1, 4, 400).astype(np.uint64)
+        end = np.repeat([150, 151, 400], [150, 1, 249])
+        key = lambda i, w=width: tuple(h[i : min(i + w, end[i])].tolist())
+        assert [key(i) for i in decontaminate.suffix_array(h, end, width)] == sorted(key(i) for i in range(400))
 
 
 def brute_jaccard(every, threshold=0.8):

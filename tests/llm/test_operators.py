@@ -188,7 +188,8 @@ def test_near_duplicates(spark, docs, monkeypatch):
     want = brute_jaccard(one.collect())
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(one).collect()}
     assert got.pop(None) == (None, 0) and got == want
-    monkeypatch.setattr(jaccard_join, "BLOCK", 300)  # many blocks in a component
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)  # many blocks in a run
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(one).collect()}
     got.pop(None)
     assert got == want
@@ -206,8 +207,42 @@ def test_unlike_texts_of_one_id_stay(spark):
         assert rows_of(jaccard_join.deduplicated(docs)) == sorted([(i, t, "s") for i, t in [*want, (None, "x")]], key=str)
 
 
-def test_prefix_is_shortened_to_the_target():
+def test_prefix_is_shortened_to_the_target(spark):
     assert jaccard_join.prefix_length(0.8, 0.99) == 6 and jaccard_join.prefix_length(0.8, 0.999) == 4
+    rng = np.random.default_rng(4)
+    tall, depth = jaccard_join.TREES, jaccard_join.DEPTH
+    base = rng.integers(0, 2**32, (60, tall, depth), np.uint64)
+    other = base.copy()
+    other[:, :, 3] += 1  # above the threshold by signature, but no tree shares more than three values
+    rows = [(i, v.astype(">u4").tobytes()) for i, v in enumerate([*base, *other])]
+    labels = spark.createDataFrame(rows, "cid long, label binary")
+    assert jaccard_join.measured_recalls(labels, 0.8) == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0] and jaccard_join.adapted_prefix(labels, 0.8, 0.99) == 3
+    assert jaccard_join.adapted_prefix(labels.limit(60), 0.8, 0.99) == 6 and jaccard_join.measured_recalls(labels.limit(0), 0.8) == [1.0] * depth
+
+
+def test_runs_of_the_forest_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    labels = [bytes(rng.integers(0, 2, jaccard_join.TREES * jaccard_join.DEPTH).astype(">u4").tobytes()) for _ in range(200)]
+    df = spark.createDataFrame([(i, 3, x) for i, x in enumerate(labels)], "cid long, n long, label binary")
+    want = {}
+    for i, x in enumerate(labels):
+        for t in range(jaccard_join.TREES):
+            want.setdefault((t, x[24 * t : 24 * t + 16]), set()).add(i)
+    first = {}
+    for key in sorted(want):
+        first.setdefault(frozenset(want[key]), key[0])
+    got = {}
+    for r in jaccard_join.forest_runs(df, 4, 7).collect():
+        assert r.total == 3 * r.members
+        got.setdefault((r.run, r.tree), set()).add(r.cid)
+    assert {(t, frozenset(v)) for (_, t), v in got.items()} == {(t, m) for m, t in first.items() if len(m) > 1} and len(got) == len([m for m in first if len(m) > 1])
+
+
+def test_near_duplicates_of_one_id_on_two_texts(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "p q r s t u v w x y z aa bb"
+    rows = [(1, a), (1, b), (2, a + " thirteen"), (3, b + " cc"), (4, a + " thirteen fourteen")]
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).select("doc_id", "class_id", "n_links").collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 1, 2)]
 
 
 def test_components(spark):

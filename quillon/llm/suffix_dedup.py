@@ -1,17 +1,25 @@
 """Removal of byte strings that occur more than once, by bucket-pointer refinement over a distributed corpus.
 
-A window is a string of ``LENGTH`` bytes; it is repeated if it starts anywhere else too. Suffixes are bucketed by
-a q-gram first: each window's anchor is its q-gram of least hash, so equal windows have equal anchors at equal
-places, and one anchor serves some eighty windows in a row. Buckets with one member are done. A bucket is refined
-by the bytes around the anchor that its windows cover (the context): occurrences with equal contexts are equal
-in all their windows. Only where a bucket holds different contexts, one occurrence of each is compared byte by
-byte: identifiers of 8-byte grams are refined into those of 16, 32, 64, 128 and 200 bytes, each from the
-identifiers at the place and at a later offset, reusing the level before; sorting them finds the windows that
-two contexts share. Identifiers are 64-bit hashes instead of ranks, so that tasks agree without a global sort.
+A window is a string of ``LENGTH`` bytes; it is repeated if it starts anywhere else too. Suffixes start in buckets of
+equal q-grams, and a bucket is refined by the identifiers of the buckets that later offsets are in; every level reuses
+the one before, and buckets of one member are dropped. This is done at two scales.
+
+Over the corpus, buckets can't be numbered by sorting each level (that would shuffle every byte's suffix several
+times), so a bucket's identifier is a 64-bit name: that of an 8-gram is the gram itself, mixed; that of twice the
+length is mixed from the names at the place and at the later offset. Nor does every suffix stand for itself: a
+window's suffix starts at its anchor, its GRAM-byte string with the least name, so equal windows have equal anchors at
+equal places and one anchor serves some eighty windows in a row. Buckets of anchors with one member are done. The
+others are refined by the names at the offsets around the anchor that their windows cover (the context): members in
+one bucket of equal contexts are equal in all their windows.
+
+Where a bucket holds several contexts, one member of each is brought to a task, and the suffixes of all their bytes
+are refined by sorting: ranks of 8-grams become ranks of 16, 32, 64, 128 and LENGTH bytes, each level sorting pairs of
+bucket pointers (at the place, at the offset), and only of suffixes that aren't alone yet. What is left together at
+the last level are windows that contexts share. A bucket of more than BUCKET contexts is not brought to one task: the
+names (of two independent families) of its windows are counted by Spark with partial sums.
 
 Documents are kept as units (about a megabyte, compressed) in files on shared storage; positions refer to units,
-and tasks read the units they need, so texts are never shuffled. A bucket of more than BUCKET contexts is not
-brought to one task: the identifiers of its windows are counted by Spark with partial sums.
+and tasks read the units they need, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from . import common, words
 LENGTH, GRAM = 200, 40
 UNIT_BYTES = 1 << 20
 TILE = 1 << 25
-BUCKET = 2048
+BUCKET = 256
 
 
 def _pack(ids: pa.Array, offsets: np.ndarray, data: np.ndarray) -> bytes:
@@ -81,10 +89,39 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def names(data: np.ndarray, depth: int, seed: int = 0) -> list[np.ndarray]:
+    """Names of the buckets of all strings of 8, 16, 32 ... bytes up to the largest power of two within ``depth``."""
+    if len(data) < 8:
+        return []
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out, size = [words.mix(eight ^ words.U(_SEEDS[seed]))], 8
+    while 2 * size <= depth:
+        last = out[-1]
+        out.append(words.mix(last[:-size] * words.U(_SEEDS[seed]) + last[size:]) if len(last) > size else last[:0])
+        size *= 2
+    return out
+
+
+_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
+
+
+def name_of(level: np.ndarray, size: int, start: np.ndarray, end: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
+    """Names of the strings start..end (``size`` to ``most`` bytes) from those of ``size`` bytes at offsets that cover them."""
+    pieces = 1 + -(-(most - size) // size)
+    h = words.mix((end - start).astype(np.uint64) + words.U(_SEEDS[1 - seed]))
+    for k in range(pieces):
+        h = words.mix(h * words.U(_SEEDS[seed]) + level[start + (end - start - size) * k // max(pieces - 1, 1)])
+    return np.where(h == 0, words.U(1), h)
+
+
+def power(n: int) -> int:
+    """The largest power of two within n."""
+    return 1 << n.bit_length() - 1
+
+
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(bucket, context hash, anchor, first window, last window) of every run of windows with one anchor."""
+    """(bucket, context, anchor, first window, last window) of every run of windows with one anchor; 8 <= gram <= length."""
     out = []
-    c = words.prefix_hash(data)
     width = length - gram + 1
     valid = np.zeros(len(data) + 1, np.int32)
     long = np.diff(offsets) >= length
@@ -93,19 +130,26 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: i
     valid = np.cumsum(valid[:-1]) > 0
     for base in range(0, max(len(data) - length + 1, 0), TILE):
         stop = min(base + TILE, len(data) - length + 1)
-        g = np.arange(base, stop + width - 1)
-        key = (words.span_hash(c, g, g + gram) >> words.U(26) << words.U(26)) | (g - base).astype(np.uint64)
-        at = (sliding_min(key, width) & words.U(2**26 - 1)).astype(np.int64) + base
-        p = np.flatnonzero(valid[base:stop]) + base
+        # A tile's windows, whole runs and their contexts: a run is as long as its windows reach.
+        tile = data[base : stop + 2 * length]
+        levels = names(tile, length)
+        small, large = power(gram), power(length)
+        g = np.arange(stop - base + width - 1)
+        grams = name_of(levels[small.bit_length() - 4], small, g, g + gram, gram)
+        key = (grams >> words.U(26) << words.U(26)) | g.astype(np.uint64)
+        at = (sliding_min(key, width) & words.U(2**26 - 1)).astype(np.int64)
+        p = np.flatnonzero(valid[base:stop])
         if not len(p):
             continue
-        own = at[p - base]
+        own = at[p]
         new = np.ones(len(p), bool)
         new[1:] = (own[1:] != own[:-1]) | (p[1:] != p[:-1] + 1)
         lo = p[new]
         hi = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
         pos = own[new]
-        out.append((words.span_hash(c, pos, pos + gram), words.span_hash(c, lo, hi + length), pos, lo, hi))
+        context = name_of(levels[large.bit_length() - 4], large, lo, hi + length, length + width - 1)
+        # The place of the anchor in its context is part of it: equal windows stand at equal distances from it.
+        out.append((grams[pos], words.mix(context + (pos - lo).astype(np.uint64)), pos + base, lo + base, hi + base))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
 
 
@@ -150,28 +194,47 @@ def _contexts(folder: str, length: int):
     return run
 
 
-def refined(data: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Bucket identifiers of every place's next ``length`` bytes by two families of hashes; each level from the one before."""
-    out = []
-    for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        ids, depth = words.mix(data.astype(np.uint64) + words.U(seed)), 1
-        while depth < length:
-            step = min(depth, length - depth)  # the last level overlaps the one before
-            ids = words.mix(ids[:-step] * words.U(seed) + ids[step:]) if len(ids) > step else ids[:0]
-            depth += step
-        out.append(ids)
+def refined(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bucket pointers of every place's next ``length`` bytes: equal numbers for equal strings, -1 where no other is equal.
+
+    The first buckets are those of 8-grams (single bytes below that length); a level sorts the pairs of pointers at the
+    place and at the later offset, of places whose buckets have several members at both.
+    """
+    data = np.ascontiguousarray(data)
+    if length >= 8:
+        depth, place = 8, np.arange(max(len(data) - 7, 0))
+        key = np.ndarray((len(place),), "<u8", data, strides=(1,)).copy() if len(place) else np.zeros(0, np.uint64)
+    else:
+        depth, place, key = 1, np.arange(len(data)), data.astype(np.uint64)
+    bucket = _buckets(place, key, len(place))
+    while depth < length:
+        step = min(depth, length - depth)  # the last level overlaps the one before
+        size = max(len(bucket) - step, 0)
+        place = np.flatnonzero((bucket[:size] >= 0) & (bucket[step:] >= 0)) if size else np.zeros(0, np.int64)
+        bucket = _buckets(place, bucket[place] << 32 | bucket[place + step], size)
+        depth += step
+    return bucket
+
+
+def _buckets(place: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the buckets of equal keys at their places; buckets of one member are dropped (-1)."""
+    out = np.full(size, -1)
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    number = np.cumsum(new) - 1
+    several = np.bincount(number, minlength=1)[number] > 1 if len(key) else new
+    out[place[order[several]]] = number[several]
     return out
 
 
 def _windows(texts: pa.Array, length: int):
-    """(context, offset in it, identifiers) of all windows of the contexts."""
+    """(context, offset in it, place in all contexts' bytes) of all windows of the contexts, and these bytes."""
     offsets, data = common.offsets_of(texts)
-    a, b = refined(data, length)
     count = np.maximum(np.diff(offsets) - length + 1, 0)
     of = np.repeat(np.arange(len(count)), count)
     d = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    place = offsets[:-1][of] + d
-    return of, d, a[place], b[place]
+    return of, d, offsets[:-1][of] + d, data
 
 
 def _spans(of: np.ndarray, d: np.ndarray):
@@ -188,15 +251,12 @@ def _compare(length: int):
 
     def emit(rows):
         texts = pa.array([r[3] for r in rows], pa.binary())
-        of, d, a, b = _windows(texts, length)
+        of, d, place, data = _windows(texts, length)
         if not len(of):
             return None
-        bucket = np.unique([r[0] for r in rows], return_inverse=True)[1]
-        key = words.mix(a + words.mix(b + bucket[of].astype(np.uint64)))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        hit = np.zeros(len(key), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        bucket = refined(data, length)[place]
+        some = np.flatnonzero(bucket >= 0)  # a place's bytes may go on into the next context, a window's don't
+        hit = _buckets(some, bucket[some], len(of)) >= 0
         of, first, last = _spans(of[hit], d[hit])
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["h", "c", "first", "last"])
 
@@ -218,11 +278,15 @@ def _compare(length: int):
 
 
 def _identified(length: int):
+    """The names of all windows of the contexts, by two families."""
+    size = power(length)
+
     def run(batches):
         for b in common.slices(batches, "text", UNIT_BYTES // 2):
-            of, d, x, y = _windows(b.column(2), length)
+            of, d, place, data = _windows(b.column(2), length)
+            told = [name_of(names(data, length, seed)[size.bit_length() - 4], size, place, place + length, length, seed) if len(of) else np.zeros(0, np.uint64) for seed in (0, 1)]
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(d.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["h", "c", "d", "x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(d.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in told)], ["h", "c", "d", "x", "y"])
 
     return run
 
@@ -269,7 +333,7 @@ def repeated_windows(docs: DataFrame, folder: str, length: int = LENGTH, gram: i
     ``docs`` has the columns doc_id and text (no nulls in text); their units are written to ``folder``.
     """
     spark = docs.sparkSession
-    parts = common.partitions(spark)
+    parts = common.partitions(spark, docs)
     every = common.saved(docs.mapInArrow(_units(folder, length, gram), "h long, c long, file long, at long, lo int, hi int"), "anchors")
     found = every.where("h IS NOT NULL")
     grams = common.saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -306,7 +370,7 @@ def _large(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document; ``length`` is 16 at least.
 
     Every byte covered by a ``length``-byte string that starts anywhere else as well, in the same document or
     another, is removed; all occurrences go. Null texts are empty; texts under ``length`` bytes stay whole;
@@ -321,8 +385,10 @@ def _hits(docs: DataFrame, length: int, text: str, id_col: str):
     spark = docs.sparkSession
     folder = common.scratch(spark, "units")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeated_windows(rows, folder, length)
-    return folder, found.repartition(common.partitions(spark), "file", "at").sortWithinPartitions("file", "at")
+    if length < 16:
+        raise ValueError("repeated strings are looked for from 16 bytes on")
+    found = repeated_windows(rows, folder, length, max(8, min(GRAM, length // 2)))
+    return folder, found.repartition(common.partitions(spark, docs), "file", "at").sortWithinPartitions("file", "at")
 
 
 def _kept(folder: str, length: int):

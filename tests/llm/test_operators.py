@@ -270,12 +270,26 @@ def brute_repeats(every, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket", [2048, 2])
-def test_suffix_dedup(spark, docs, bucket, monkeypatch):
+@pytest.mark.parametrize("length, bucket", [(200, 256), (200, 2), (100, 256), (37, 256), (20, 2), (16, 256)])
+def test_suffix_dedup(spark, docs, length, bucket, monkeypatch):
     monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (200, 40, bucket))
-    got = rows_of(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == brute_repeats(docs.collect(), 200)
-    assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
+    docs = docs.where("length(text) < 20000 or text is null") if length < 200 else docs
+    got = rows_of(suffix_dedup.suffix_dedup(docs, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats(docs.collect(), length)
+    assert length != 200 or suffix_dedup.suffix_dedup(empty(spark)).count() == 0
+
+
+def test_windows_of_tiles_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 100, 30_000).astype(np.uint8)
+    data[5000:5600] = 97
+    offsets = np.array([0, 100, 9000, 9000, 9250, 30_000])
+    h, c, pos, lo, hi = suffix_dedup.anchors(offsets, data)
+    windows = {w: (a, b) for a, b, s, e in zip(h.tolist(), (pos - lo).tolist(), lo.tolist(), hi.tolist()) for w in range(s, e + 1)}
+    monkeypatch.setattr(suffix_dedup, "TILE", 700)
+    h2, c2, pos2, lo2, hi2 = suffix_dedup.anchors(offsets, data)
+    assert {w: a for a, s, e in zip(h2.tolist(), lo2.tolist(), hi2.tolist()) for w in range(s, e + 1)} == {w: a for w, (a, _) in windows.items()}
+    assert all(bytes(data[p : p + 40]) for p in pos) and (hi - lo <= 160).all() and (hi2 - lo2 <= 160).all()
 
 
 def test_kept_texts(spark, docs):
@@ -284,12 +298,16 @@ def test_kept_texts(spark, docs):
     assert all(hashlib.sha256(got[d].encode()).hexdigest() == h for d, h in want.items() if "�" not in got[d])
 
 
-def test_refined_identifiers_are_equal_exactly_for_equal_strings():
-    data = np.frombuffer(b"abcab" * 9, np.uint8)
-    ids = suffix_dedup.refined(data, 7)[0]
-    strings = [bytes(data[i : i + 7]) for i in range(len(data) - 6)]
-    assert len(ids) == len(strings) and len(set(ids.tolist())) == len(set(strings))
-    assert len({(i, s) for i, s in zip(ids.tolist(), strings)}) == len(set(strings))
+@pytest.mark.parametrize("length", [1, 3, 7, 8, 12, 30])
+def test_refined_buckets_hold_equal_strings_and_no_lone_one(length):
+    rng = random.Random(length)
+    data = np.frombuffer(b"abcab" * 9 + bytes(rng.choice(b"ab") for _ in range(300)), np.uint8)
+    bucket = suffix_dedup.refined(data, length).tolist()
+    strings = [bytes(data[i : i + length]) for i in range(len(data) - length + 1)]
+    assert len(bucket) == len(strings)
+    for x, s in zip(bucket, strings):
+        assert (x < 0) == (strings.count(s) == 1)
+    assert len({(x, s) for x, s in zip(bucket, strings) if x >= 0}) == len({s for x, s in zip(bucket, strings) if x >= 0}) == len({x for x in bucket if x >= 0})
 
 
 def test_token_table(spark, docs):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from .. import types as T
 from ..nodes import ROUTINE, Expr, as_expr, combine, omit, value
@@ -167,7 +168,19 @@ def dense_rank() -> Expr:
     return _ranking("DENSE_RANK")
 
 
-def over(a: Expr, partition_by: Iterable[Expr] = (), order_by: Iterable = ()) -> Expr:
+@dataclass(frozen=True, eq=False)
+class WindowSpec:
+    """A window that several functions share: over(f, spec)."""
+
+    partition_by: tuple = ()
+    order_by: tuple = ()
+
+
+def window(partition_by: Iterable[Expr] = (), order_by: Iterable = ()) -> WindowSpec:
+    return WindowSpec(tuple(partition_by), tuple(order_by))
+
+
+def over(a: Expr, partition_by: Iterable[Expr] | WindowSpec = (), order_by: Iterable = ()) -> Expr:
     """a OVER (PARTITION BY ... ORDER BY ...).
 
     Spark has no ranking without an order and no distinct aggregate over a window; there the order is a
@@ -175,6 +188,8 @@ def over(a: Expr, partition_by: Iterable[Expr] = (), order_by: Iterable = ()) ->
     """
     from ..operators.clauses import term
 
+    if isinstance(partition_by, WindowSpec):
+        partition_by, order_by = partition_by.partition_by, (*partition_by.order_by, *order_by)
     parts, orders = list(partition_by), [term(o) for o in order_by if o is not omit]
     if a.window:
         raise T.QueryError("a window function of a window function")

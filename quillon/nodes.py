@@ -249,7 +249,7 @@ def is_column_reference(x) -> bool:
 
 @dataclass(frozen=True, eq=False)
 class Clause:
-    """A clause with its place in SQL; build(ctx) gives its text."""
+    """A clause with its place in SQL; build(ctx) gives its text. A query has one of a kind, unless the kind repeats."""
 
     kind: str
     order: int
@@ -259,6 +259,7 @@ class Clause:
     nullable: tuple = ()
     outer: tuple = ()
     info: Any = None
+    repeats: bool = False
 
 
 @dataclass(frozen=True, eq=False)

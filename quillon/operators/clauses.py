@@ -33,7 +33,7 @@ def _join(word, source, condition=None):
             raise T.UnsupportedError(f"Spark has no {word} LATERAL")
         return f"{word} {source.render(ctx)}" + "".join(f" ON {c.render(ctx)}" for c in on)
 
-    return Clause("join", 40, build, on, (source,), (source,) if word == "LEFT JOIN" else (), info=word)
+    return Clause("join", 40, build, on, (source,), (source,) if word == "LEFT JOIN" else (), info=word, repeats=True)
 
 
 def inner_join(source: Source, condition: Expr) -> Clause:
@@ -161,7 +161,7 @@ def correlate(*sources: Source) -> Clause:
     """Names the sources of enclosing queries that this query uses."""
     if not sources:
         raise T.QueryError("correlate needs a source")
-    return Clause("correlate", 25, None, outer=sources)
+    return Clause("correlate", 25, None, outer=sources, repeats=True)
 
 
 def with_cte(*ctes: Source) -> Clause:
@@ -176,7 +176,7 @@ def with_cte(*ctes: Source) -> Clause:
             ctx.ctes.add(c.name)
         return "WITH " + ", ".join(parts)
 
-    return Clause("with", 10, build, info=ctes)
+    return Clause("with", 10, build, info=ctes, repeats=True)
 
 
 with_queries = with_cte
@@ -184,4 +184,4 @@ with_queries = with_cte
 
 def custom_clause(name: str, order: int, render: Callable, *exprs: Expr) -> Clause:
     """A clause at any position; render(ctx) gives its text and may bind parameters."""
-    return Clause("custom", order, render, exprs, info=name)
+    return Clause("custom", order, render, exprs, info=name, repeats=True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from .. import types as T
 from ..nodes import Clause, Expr, Query, Source, as_expr, combine, omit
 
-SINGLE = ("distinct", "from", "where", "group-by", "having", "order-by", "offset", "fetch")
+#: The clauses that are placed by their kind; others are by their order alone.
+BUILT_IN = frozenset(["with", "distinct", "from", "join", "where", "group-by", "having", "order-by", "offset", "fetch", "correlate"])
 
 
 def select(projection: dict[str, Expr], *clauses: Clause) -> Query:
@@ -17,9 +20,9 @@ def select(projection: dict[str, Expr], *clauses: Clause) -> Query:
         raise T.QueryError("a projection needs a field")
     clauses = [c for c in clauses if c is not omit]
     kinds = [c.kind for c in clauses]
-    for k in SINGLE:
-        if kinds.count(k) > 1:
-            raise T.QueryError(f"more than one {k} clause")
+    for kind, n in Counter(c.kind for c in clauses if not c.repeats).items():
+        if n > 1:
+            raise T.QueryError(f"a query has one {kind} clause, not {n}")
     clauses.sort(key=lambda c: c.order)  # stable: joins keep their order
     by = {c.kind: c for c in clauses}
     outer = _scope(fields, clauses)
@@ -113,10 +116,10 @@ def _text(ctx, fields, clauses, by, extra) -> str:
 
 def _parts(ctx, fields, clauses, by) -> str:
     out = [c.build(ctx) for c in clauses if c.kind == "with"]
-    out += [c.build(ctx) for c in clauses if c.kind == "custom" and c.order < 20]
+    out += [c.build(ctx) for c in clauses if c.kind not in BUILT_IN and c.order < 20]
     names = ctx.result_names(fields)
     number = lambda k: (by[k].info[0] if isinstance(by[k].info, tuple) else by[k].info) if k in by else None
-    if ctx.dialect.name == "spark" and {"having", "order-by"} <= set(by) and "distinct" not in by and not any(c.kind == "custom" for c in clauses):
+    if ctx.dialect.name == "spark" and {"having", "order-by"} <= set(by) and "distinct" not in by and all(c.kind in BUILT_IN for c in clauses):
         # Spark doesn't resolve aggregates in ORDER BY above HAVING: sort by hidden columns of the grouped query.
         terms = by["order-by"].info
         shown = [f"{e.render(ctx)} AS {ctx.quote(n)}" for n, e in zip(names, fields.values())] + [f"{t.expr.render(ctx)} AS {ctx.quote(f'_s{i}')}" for i, t in enumerate(terms)]
@@ -126,10 +129,10 @@ def _parts(ctx, fields, clauses, by) -> str:
         return " ".join([*out, *filter(None, [ctx.dialect.page(ctx, number("offset"), number("fetch"))])])
     word = "SELECT DISTINCT " if "distinct" in by else "SELECT "
     out.append(word + ", ".join(f"{e.render(ctx)} AS {ctx.quote(n)}" for n, e in zip(names, fields.values())))
-    out += [c.build(ctx) for c in clauses if c.kind not in ("with", "distinct", "offset", "fetch", "correlate") and not (c.kind == "custom" and (c.order < 20 or c.order > 100))]
+    out += [c.build(ctx) for c in clauses if c.kind not in ("with", "distinct", "offset", "fetch", "correlate") and (c.kind in BUILT_IN or 20 <= c.order <= 100)]
     page = ctx.dialect.page(ctx, number("offset"), number("fetch"))
     out += [page] if page else []
-    out += [c.build(ctx) for c in clauses if c.kind == "custom" and c.order > 100]
+    out += [c.build(ctx) for c in clauses if c.kind not in BUILT_IN and c.order > 100]
     return " ".join(out)
 
 

@@ -31,7 +31,7 @@ TABLES = [region, nation, customer, supplier, part, orders, lineitem, events]
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine over the tables of ``sf_dir``; nothing is read until a query runs."""
-    return Engine(spark, {t.name: spark.read.parquet(f"{sf_dir}/{t.name}.parquet") for t in TABLES})
+    return Engine(spark, {t.name: lambda name=t.name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for t in TABLES})
 
 
 QUERIES: dict = {}
@@ -74,19 +74,20 @@ _add("q_flagship", _flagship, """SELECT n_name AS nation_name, round(sum(l_exten
  WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY n_name ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC LIMIT 10""")
 _add("q_filter_project", lambda: select(
     {"orderKey": line.l_orderkey, "qty": line.l_quantity, "flag": line.l_returnflag}, from_(line),
-    where(and_(lt(line.l_quantity, 20), gte(line.l_discount, 0.03), or_(eq(line.l_returnflag, "R"), ne(line.l_linestatus, "O")), in_list(line.l_linenumber, [1, 2, 3]), not_in(line.l_suppkey, [1, 2]), like(line.l_returnflag, "%"), not_like(line.l_linestatus, "Z%"), lte(line.l_tax, 0.07), not_(gt(line.l_extendedprice, 50000)), between(line.l_partkey, 10, 1500))),
+    where(and_(lt(line.l_quantity, 20), gte(line.l_discount, 0.03), or_(eq(line.l_returnflag, "R"), ne(line.l_linestatus, "O")), in_list(line.l_linenumber, [1, 2, 3]), not_in(line.l_linenumber, [2]), not_like(line.l_returnflag, "A%"), like(concat(line.l_returnflag, "/", line.l_linestatus), "%/_"), not_like(concat(line.l_returnflag, line.l_linestatus), "_F"), lte(line.l_tax, 0.07), not_(gt(line.l_extendedprice, 50000)), between(line.l_extendedprice, 1000, 45000))),
 ), """SELECT l_orderkey AS "orderKey", l_quantity AS qty, l_returnflag AS flag FROM lineitem WHERE l_quantity < 20 AND l_discount >= 0.03 AND (l_returnflag = 'R' OR l_linestatus <> 'O')
- AND l_linenumber IN (1, 2, 3) AND l_suppkey NOT IN (1, 2) AND l_tax <= 0.07 AND NOT l_extendedprice > 50000 AND l_partkey BETWEEN 10 AND 1500""")
+ AND l_linenumber IN (1, 2, 3) AND l_linenumber NOT IN (2) AND l_returnflag NOT LIKE 'A%' AND l_returnflag || '/' || l_linestatus LIKE '%/_' AND l_returnflag || l_linestatus NOT LIKE '_F'
+ AND l_tax <= 0.07 AND NOT l_extendedprice > 50000 AND l_extendedprice BETWEEN 1000 AND 45000""")
 _add("q_empty_in", lambda: select({"k": r.r_regionkey}, from_(r), where(in_list(r.r_regionkey, []))), "SELECT r_regionkey AS k FROM region WHERE FALSE")
 _add("q_empty_not_in", lambda: select({"k": r.r_regionkey}, from_(r), where(not_in(r.r_regionkey, []))), "SELECT r_regionkey AS k FROM region")
 _add("q_null_predicates", lambda: select(
     {"name": n.n_name, "missing": is_null(s.s_suppkey), "there": is_not_null(s.s_suppkey), "true_": is_true(gt(s.s_acctbal, 0)), "diff": is_distinct_from(s.s_suppkey, n.n_nationkey), "same": is_not_distinct_from(s.s_suppkey, n.n_nationkey), "by_eq": eq(s.s_name, None)},
-    from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), lt(s.s_suppkey, 15))),
+    from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), gt(s.s_acctbal, 7000))),
 ), """SELECT n_name AS name, s_suppkey IS NULL AS missing, s_suppkey IS NOT NULL AS there, coalesce(s_acctbal > 0, FALSE) AS true_, s_suppkey IS DISTINCT FROM n_nationkey AS diff,
- s_suppkey IS NOT DISTINCT FROM n_nationkey AS same, s_name IS NULL AS by_eq FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 15""")
+ s_suppkey IS NOT DISTINCT FROM n_nationkey AS same, s_name IS NULL AS by_eq FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 7000""")
 for _kind, _join, _word in (("inner", inner_join, "JOIN"), ("left", left_join, "LEFT JOIN"), ("right", right_join, "RIGHT JOIN"), ("full", full_join, "FULL JOIN")):
-    _add(f"q_{_kind}_join", lambda j=_join: select({"nation": n.n_name, "supplier": s.s_name}, from_(n), j(s, and_(eq(s.s_nationkey, n.n_nationkey), gt(s.s_acctbal, 3000), lt(n.n_nationkey, 20)))),
-         f"SELECT n_name AS nation, s_name AS supplier FROM nation {_word} supplier ON s_nationkey = n_nationkey AND s_acctbal > 3000 AND n_nationkey < 20")
+    _add(f"q_{_kind}_join", lambda j=_join: select({"nation": n.n_name, "supplier": s.s_name}, from_(n), j(s, and_(eq(s.s_nationkey, n.n_nationkey), gt(s.s_acctbal, 3000), ne(n.n_regionkey, 3)))),
+         f"SELECT n_name AS nation, s_name AS supplier FROM nation {_word} supplier ON s_nationkey = n_nationkey AND s_acctbal > 3000 AND n_regionkey <> 3")
 _add("q_cross_join", lambda: select({"a": r.r_name, "b": n.n_name}, from_(r), cross_join(n)), "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation")
 _add("q_natural_join", lambda: (lambda a, b: select({"k": a.key, "x": a.x, "y": b.y}, from_(a), natural_join(b)))(alias(select({"key": n.n_nationkey, "x": n.n_name}, from_(n)), "a"), alias(select({"key": r.r_regionkey, "y": r.r_name}, from_(r)), "b")),
      "SELECT n_nationkey AS k, n_name AS x, r_name AS y FROM nation JOIN region ON n_nationkey = r_regionkey")
@@ -99,16 +100,17 @@ _add("q_group_having", lambda: select(
     from_(line), group_by(line.l_returnflag, line.l_linestatus), having(gt(count(), 10)), order_by(desc(count())),
 ), """SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 2) AS price,
  min(l_discount) AS low, max(l_tax) AS high, count(l_suppkey) AS some FROM lineitem GROUP BY ALL HAVING count(*) > 10""")
-_add("q_group_expr", lambda: select({"initial": call("SUBSTR", upper(n.n_name), unsafe_expression("1"), unsafe_expression("1")), "n": count()}, from_(n), group_by(call("SUBSTR", upper(n.n_name), unsafe_expression("1"), unsafe_expression("1")))),
-     "SELECT substr(upper(n_name), 1, 1) AS initial, count(*) AS n FROM nation GROUP BY 1")
+_last = lambda: call("SUBSTR", lower(c.c_mktsegment), unsafe_expression("1"), unsafe_expression("2"))
+_add("q_group_expr", lambda: select({"start": _last(), "nation": modulo(c.c_nationkey, 7), "n": count(), "rich": maximum(c.c_acctbal)}, from_(c), group_by(_last(), modulo(c.c_nationkey, 7))),
+     "SELECT substr(lower(c_mktsegment), 1, 2) AS start, c_nationkey % 7 AS nation, count(*) AS n, max(c_acctbal) AS rich FROM customer GROUP BY 1, 2")
 _add("q_group_fd", lambda: select({"id": c.c_custkey, "name": c.c_name, "segment": c.c_mktsegment, "n": count(o.o_orderkey)}, from_(c), left_join(o, eq(o.o_custkey, c.c_custkey)), group_by(c.c_custkey)),
      "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_mktsegment")
 _add("q_global_agg", lambda: select({"n": count(), "top": maximum(o.o_totalprice)}, from_(o), having(gt(count(), 0))), "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")
 _add("q_distinct", lambda: select({"status": o.o_orderstatus, "priority": o.o_orderpriority}, from_(o), distinct()), "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders")
-_add("q_order_nulls", lambda: select({"nation": n.n_nationkey, "supplier": s.s_suppkey}, from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), lt(s.s_suppkey, 30))), order_by(nulls_first(s.s_suppkey), asc(n.n_nationkey)), limit(12)),
-     "SELECT n_nationkey AS nation, s_suppkey AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 30 ORDER BY s_suppkey ASC NULLS FIRST, n_nationkey LIMIT 12")
-_add("q_order_nulls_last", lambda: select({"nation": n.n_nationkey, "supplier": s.s_suppkey}, from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), lt(s.s_suppkey, 30))), order_by(nulls_last(s.s_suppkey), desc(n.n_nationkey)), limit(12)),
-     "SELECT n_nationkey AS nation, s_suppkey AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 30 ORDER BY s_suppkey ASC NULLS LAST, n_nationkey DESC LIMIT 12")
+_add("q_order_nulls", lambda: select({"nation": n.n_nationkey, "supplier": s.s_suppkey}, from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), gt(s.s_acctbal, 6000))), order_by(nulls_first(s.s_suppkey), asc(n.n_nationkey))),
+     "SELECT n_nationkey AS nation, s_suppkey AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 6000 ORDER BY s_suppkey ASC NULLS FIRST, n_nationkey")
+_add("q_order_nulls_last", lambda: select({"nation": n.n_nationkey, "supplier": s.s_suppkey}, from_(n), left_join(s, and_(eq(s.s_nationkey, n.n_nationkey), gt(s.s_acctbal, 6000))), order_by(nulls_last(s.s_suppkey), desc(n.n_nationkey))),
+     "SELECT n_nationkey AS nation, s_suppkey AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 6000 ORDER BY s_suppkey ASC NULLS LAST, n_nationkey DESC")
 _add("q_offset_limit", lambda: select({"k": o.o_orderkey, "price": o.o_totalprice}, from_(o), order_by(desc(o.o_totalprice), asc(o.o_orderkey)), offset(20), limit(15)), "SELECT o_orderkey AS k, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 20")
 _add("q_offset_only", lambda: select({"k": n.n_nationkey}, from_(n), order_by(asc(n.n_nationkey)), offset(20)), "SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey OFFSET 20")
 _W = {"partition_by": [o.o_custkey], "order_by": [desc(o.o_orderdate), asc(o.o_orderkey)]}
@@ -137,8 +139,8 @@ _add("q_not_exists", lambda: select({"k": c.c_custkey}, from_(c), where(not_exis
 _rich = lambda: select({"k": o.o_custkey}, from_(o), where(gt(o.o_totalprice, 300000)))
 _add("q_in_query", lambda: select({"k": c.c_custkey}, from_(c), where(in_query(c.c_custkey, _rich()))), "SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 _add("q_not_in_query", lambda: select({"k": c.c_custkey}, from_(c), where(not_(in_query(c.c_custkey, _rich())))), "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-_add("q_in_query_value", lambda: select({"k": n.n_nationkey, "hit": in_query(n.n_nationkey, select({"x": call("NULLIF", s.s_nationkey, value(3), domain=T.INTEGER)}, from_(s), where(lt(s.s_suppkey, 12))))}, from_(n)),
-     "SELECT n_nationkey AS k, n_nationkey IN (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_suppkey < 12) AS hit FROM nation")
+_add("q_in_query_value", lambda: select({"k": n.n_nationkey, "hit": in_query(n.n_nationkey, select({"x": call("NULLIF", s.s_nationkey, value(3), domain=T.INTEGER)}, from_(s), where(gt(s.s_acctbal, 8500))))}, from_(n)),
+     "SELECT n_nationkey AS k, n_nationkey IN (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_acctbal > 8500) AS hit FROM nation")
 _top = lambda: select({"orderKey": o.o_orderkey, "price": o.o_totalprice}, correlate(c), from_(o), where(eq(o.o_custkey, c.c_custkey)), order_by(desc(o.o_totalprice), asc(o.o_orderkey)), limit(1))
 _add("q_lateral", lambda: (lambda t: select({"k": c.c_custkey, "order": t.orderKey, "price": t.price}, from_(c), cross_join(t)))(lateral(_top(), "t")),
      """SELECT c_custkey AS k, o_orderkey AS "order", o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1""")
@@ -157,8 +159,14 @@ _add("q_case_cast_text", lambda: select(
  CAST(p_size AS DOUBLE) AS raw, upper(p_brand) || '-' || lower(p_type) AS names, coalesce(nullif(p_brand, 'Brand#11'), 'none') AS c FROM part""")
 _add("q_arithmetic", lambda: select({"k": p.p_partkey, "a": add(p.p_size, 3), "b": subtract(p.p_size, 3), "c": multiply(p.p_size, 2), "d": divide(p.p_size, 4), "e": modulo(subtract(p.p_size, 20), 7)}, from_(p)),
      "SELECT p_partkey AS k, p_size + 3 AS a, p_size - 3 AS b, p_size * 2 AS c, p_size / 4 AS d, (p_size - 20) % 7 AS e FROM part")
-_add("q_json", lambda: select({"k": ev.event_id, "num": json_number(ev.props, ["k"]), "txt": json_text(ev.props, ["k"]), "yes": json_exists(ev.props, ["k"]), "no": json_exists(ev.props, ["x", 0]), "flag": json_boolean(ev.props, ["k"])}, from_(ev)),
-     "SELECT event_id AS k, CAST(json_extract(props, '$.k') AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt, TRUE AS yes, FALSE AS no, CAST(NULL AS BOOLEAN) AS flag FROM events")
+_DOCS = """CASE event_id % 4 WHEN 0 THEN '{"user":{"name":"' || event_type || '","active":true,"email":null},"scores":[' || round(value, 1) || ']}'
+ WHEN 1 THEN '{"user":{"name":42,"active":"yes"},"scores":["high"]}' WHEN 2 THEN '{"user":null}' ELSE props END"""
+#: Events with documents in which a path is text, a number, a boolean, null or not there.
+_docs = custom_source("docs", {"id": bigint(), "event_type": text(), "value": numeric(), "doc": json()}, lambda ctx: f"(SELECT event_id AS id, event_type, value, {_DOCS.replace('value', 'CAST(value AS DECIMAL(18, 6))')} AS doc FROM {ctx.table('events')}) AS {ctx.quote('docs')}")
+_add("q_json", lambda: select({
+    "k": _docs.id, "name": json_text(_docs.doc, ["user", "name"]), "score": json_number(_docs.doc, ["scores", 0]), "active": json_boolean(_docs.doc, ["user", "active"]), "email": json_exists(_docs.doc, ["user", "email"]), "num": json_number(_docs.doc, ["k"]), "there": json_exists(_docs.doc, ["k"]),
+}, from_(_docs)), """SELECT event_id AS k, CASE WHEN event_id % 4 = 0 THEN event_type END AS name, CASE WHEN event_id % 4 = 0 THEN CAST(round(CAST(value AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS score,
+ CASE WHEN event_id % 4 = 0 THEN TRUE END AS active, event_id % 4 = 0 AS email, CASE WHEN event_id % 4 = 3 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS num, event_id % 4 = 3 AS there FROM events""")
 _add("q_ilike", lambda: select({"k": n.n_nationkey}, from_(n), where(__import__("quillon.functions.comparison", fromlist=["ilike"]).ilike(n.n_name, "%1%"))), "SELECT n_nationkey AS k FROM nation WHERE n_name ILIKE '%1%'")
 _add("q_source_free", lambda: select({"one": value(1), "word": value("x")}), "SELECT 1 AS one, 'x' AS word")
 _range = custom_source("r", {"id": bigint()}, lambda ctx: f"RANGE({ctx.parameter(3)}, {ctx.parameter(9)}) AS {ctx.quote('r')}")
@@ -172,7 +180,7 @@ def _mutated(change, give=None):
     def run(spark, sf_dir):
         e = engine(spark, sf_dir)
         back = e.mutate(change())
-        return back if give else e.tables["nation2"] if "nation2" in e.tables else e.tables["nation"]
+        return back if give else e.tables["nation"]
 
     return run
 
@@ -201,3 +209,31 @@ def _defaults(spark, sf_dir):
 
 QUERIES["q_insert_defaults"] = _defaults
 ORACLES["q_insert_defaults"] = "SELECT 1 AS id, 'none' AS kind, CAST(NULL AS VARCHAR) AS note UNION ALL SELECT 2, 'x', NULL UNION ALL SELECT 3, 'y', NULL"
+
+
+def _generated(spark, sf_dir):
+    """Generated and ON UPDATE columns follow an UPDATE; the rest of the rows stay."""
+    own = table("prices", {"k": bigint(), "price": numeric(), "size": integer(), "version": integer()})
+    t = table("prices", {"k": bigint(), "price": numeric(), "size": integer(), "total": numeric(generated_as=multiply(own.price, own.size)), "version": integer(on_update=add(own.version, 1))})
+    e = Engine(spark, {"prices": spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "p_retailprice AS price", "p_size AS size", "p_retailprice * p_size AS total", "0 AS version")})
+    e.mutate(update(t, {"size": add(t.size, 10)}, where(lt(t.size, 20))))
+    e.mutate(update(t, {"price": multiply(t.price, 2)}, where(gt(t.size, 40))))
+    return e.tables["prices"].selectExpr("k", "price", "size", "round(total, 2) AS total", "version")
+
+
+QUERIES["q_update_generated"] = _generated
+ORACLES["q_update_generated"] = """SELECT k, price, size, round(price * size, 2) AS total, version FROM (SELECT p_partkey AS k, CAST((p_size < 20)::INT + (s > 40)::INT AS INTEGER) AS version, CASE WHEN s > 40 THEN p_retailprice * 2 ELSE p_retailprice END AS price, CAST(s AS INTEGER) AS size
+ FROM (SELECT *, CASE WHEN p_size < 20 THEN p_size + 10 ELSE p_size END AS s FROM part))"""
+
+
+def _identity_select(spark, sf_dir):
+    """INSERT ... SELECT numbers the rows on from the largest id, without gaps."""
+    t = table("rich", {"id": bigint(identity=True), "name": text(), "balance": numeric()})
+    e = engine(spark, sf_dir)
+    e.register("rich", spark.createDataFrame([(7, "first", 0.0)], "id long, name string, balance double"))
+    e.mutate(insert_into(t, insert_select(select({"n": c.c_name, "b": c.c_acctbal}, from_(c), where(gt(c.c_acctbal, 0))), ["name", "balance"])))
+    return e.tables["rich"].selectExpr("count(*) AS n", "min(id) AS low", "max(id) AS high", "count(DISTINCT id) AS ids", "round(sum(balance), 2) AS balance")
+
+
+QUERIES["q_insert_identity_select"] = _identity_select
+ORACLES["q_insert_identity_select"] = "SELECT count(*) + 1 AS n, CAST(7 AS BIGINT) AS low, count(*) + 7 AS high, count(*) + 1 AS ids, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > 0"

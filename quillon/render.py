@@ -167,11 +167,17 @@ class Context:
     extra: list = field(default_factory=list)
     level: int = 0
     frames: tuple = ()
+    relations: Callable | None = None
 
     def quote(self, name: str) -> str:
         q = self.dialect.quote
         return q + name.replace(q, q + q) + q
 
+    def table(self, name: str, alias: str | None = None) -> str:
+        """A base table in FROM; an engine may hold it under another name, which ``relations`` gives."""
+        held = self.relations(name) if self.relations else name
+        return self.quote(held) + (f" AS {self.quote(alias or name)}" if alias or held != name else "")
+
     def literal(self, text: str) -> str:
         if self.dialect.name in ("spark", "mysql"):
             text = text.replace("\\", "\\\\")
@@ -229,13 +235,16 @@ class Rendered:
     parameters: tuple
 
 
-def render(query: Query, dialect: Dialect = standard_dialect) -> Rendered:
-    """Text and parameters; the order of parameters is that of their placeholders in the text."""
+def render(query: Query, dialect: Dialect = standard_dialect, relations: Callable | None = None) -> Rendered:
+    """Text and parameters; the order of parameters is that of their placeholders in the text.
+
+    ``relations`` gives the names that tables are held under, where these aren't their own.
+    """
     for c in query.capabilities:
         assert_dialect_capability(dialect, c)
     if query.outer:
         raise T.ScopeError(f"needs sources of an enclosing query: {', '.join(sorted(s.name for s in query.outer))}")
-    ctx = Context(dialect)
+    ctx = Context(dialect, relations=relations)
     text = query.render(ctx)
     return Rendered(text, tuple(ctx.parameters))
 

@@ -73,7 +73,7 @@ def table(name: str, columns: dict[str, Column], metadata: Callable | dict | Non
 
     names = sql_names({f: c.sql_name for f, c in columns.items()})
     columns = {f: check_behavior(f, c) for f, c in columns.items()}
-    base = Source("table", name, names, lambda ctx: ctx.quote(name), {f: c.domain for f, c in columns.items()}, {f: c.nullable for f, c in columns.items()}, definition=Table(name, columns))
+    base = Source("table", name, names, lambda ctx: ctx.table(name), {f: c.domain for f, c in columns.items()}, {f: c.nullable for f, c in columns.items()}, definition=Table(name, columns))
     found = metadata(base) if callable(metadata) else metadata or {}
     own = Table(name, columns, {k: v for k, v in found.items() if v.kind != "index"}, {k: v for k, v in found.items() if v.kind == "index"})
     object.__setattr__(base, "definition", own)
@@ -87,7 +87,7 @@ def alias(what, name: str) -> Source:
         if what.kind not in ("table", "alias"):
             raise T.QueryError(f"a {what.kind} can't be renamed")
         base = what
-        return Source("alias", name, what.fields, lambda ctx: f"{ctx.quote(base.definition.name)} AS {ctx.quote(name)}", what.domains, what.nullables, what.keys, definition=what.definition)
+        return Source("alias", name, what.fields, lambda ctx: ctx.table(base.definition.name, name), what.domains, what.nullables, what.keys, definition=what.definition)
     return _derived("derived", what, name, lambda ctx: f"({what.render(ctx.relation())}) AS {ctx.quote(name)}")
 
 

@@ -140,10 +140,10 @@ HOT = 2048
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``groups`` (one row per key, ``count`` rows each of ``total``) without a hot task.
 
-    The hot groups, under HOT in number as each holds over 1/HOT of the rows, are broadcast; the rest is
-    an ordinary shuffle join. ``groups`` should be a written table, as it is read twice.
+    The hot groups, under HOT in number as each holds over 1/HOT of the rows (and 200 at least), are broadcast; the
+    rest is an ordinary shuffle join. ``groups`` should be a written table, as it is read twice.
     """
-    line = max(total // HOT, 10_000)
+    line = max(total // HOT, 200)
     hot, cold = groups.where(F.col(count) > line), groups.where(F.col(count) <= line)
     near = rows.join(F.broadcast(hot), keys, "inner")
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)

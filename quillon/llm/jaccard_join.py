@@ -275,8 +275,8 @@ def _shingled(size: int):
     return run
 
 
-#: Documents' ids that may be broadcast, 20 bytes each, and classes with their labels and runs, 700 bytes each.
-BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 30_000
+#: Ids of candidates that may be broadcast, 20 bytes each; with more of them all texts are shuffled to their candidates.
+BROADCAST_IDS = 1_000_000
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, target: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -304,14 +304,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, targ
     dealt = runs.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     per = dealt.groupBy("cid").agg(F.collect_list(F.struct("run", "tree", "blocks", "block")).alias("runs"))  # TREES of a class at most
     classes = common.saved(per.join(groups, "cid").select("cid", "node", "copies", "label", "runs", "set_a", "set_b"), "candidates")
-    count = classes.count()
     near = rows.withColumnRenamed("doc_id", "node")
-    if count <= BROADCAST_ROWS:
-        texts = near.join(F.broadcast(classes), "node")
-    else:
-        near = near.join(F.broadcast(classes.select("node").distinct()), "node", "left_semi") if count <= BROADCAST_IDS else near
-        texts = near.join(classes, "node")
-    texts = texts.select("cid", "node", "copies", "label", "runs", "set_a", "set_b", "text")
+    if classes.count() <= BROADCAST_IDS:
+        near = near.join(F.broadcast(classes.select("node").distinct()), "node", "left_semi")
+    texts = near.join(classes, "node").select("cid", "node", "copies", "label", "runs", "set_a", "set_b", "text")
     sets = texts.mapInArrow(_shingled(size), "cid long, node long, copies long, label binary, runs array<struct<run: long, tree: int, blocks: int, block: int>>, shingles array<long>")
     each = sets.withColumn("of", F.explode("runs")).select("of.*", "cid", "node", "copies", "label", "shingles")
     pairs = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tree", "block", "cid", "node", "copies", "label", "shingles")

@@ -189,7 +189,7 @@ def test_near_duplicates(spark, docs, monkeypatch):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(one).collect()}
     assert got.pop(None) == (None, 0) and got == want
     monkeypatch.setattr(jaccard_join, "BLOCK", 300)  # many blocks in a run
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(one).collect()}
     got.pop(None)
     assert got == want
@@ -246,9 +246,9 @@ def test_near_duplicates_of_one_id_on_two_texts(spark):
 
 
 def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100), (None, 3)]
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100), (None, 3)] + [(1000, i) for i in range(1001, 1900)] + [(3000 - i, 2000 - i) for i in range(500, 600)]
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert roots == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert roots == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 1000 for i in range(1000, 1900)} | {i: 1000 for i in range(2401, 2501)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

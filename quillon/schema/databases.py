@@ -5,14 +5,21 @@ Each database is a value of facts; one walk over the registry compares every tab
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from . import Constraint, Schema, SchemaError, create_snapshot, is_unsafe_schema_sql
+from ..nodes import Expr
+from . import Constraint, Schema, SchemaError, create_snapshot, is_unsafe_schema_sql, render_schema_expression
+
+if TYPE_CHECKING:
+    from ..render import Dialect
 
 #: How each logical type is declared (fixed values).
 POSTGRES_STORAGE = {"integer": "INTEGER", "decimal": "NUMERIC", "text": "TEXT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "uuid": "UUID", "json": "JSONB", "bigint": "BIGINT", "binary": "BYTEA"}
 SQLITE_STORAGE = {"integer": "INTEGER", "decimal": "NUMERIC", "text": "TEXT", "boolean": "INTEGER", "date": "TEXT", "timestamp": "TEXT", "uuid": "TEXT", "json": "TEXT", "bigint": "INTEGER", "binary": "BLOB"}
+SPARK_STORAGE = {"integer": "INT", "decimal": "DOUBLE", "text": "STRING", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP_NTZ", "uuid": "STRING", "json": "STRING", "bigint": "BIGINT", "binary": "BINARY"}
 MYSQL_STORAGE = {"integer": "INT", "decimal": "DECIMAL", "text": "TEXT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "DATETIME", "uuid": "CHAR(36)", "json": "JSON", "bigint": "BIGINT", "binary": "VARBINARY"}
 
 
@@ -37,6 +44,8 @@ class Database:
 postgres_database = Database("postgresql", POSTGRES_STORAGE, 63, True, virtual=False, deferrable=frozenset(["primary", "unique", "unique-nullable", "foreign"]), matches=frozenset(["simple", "full"]), include=True)
 sqlite_database = Database("sqlite", SQLITE_STORAGE, deferrable=frozenset(["foreign"]))
 mysql_database = Database("mysql", MYSQL_STORAGE, 64, on_update=True, set_default=False, partial_index=False, null_order=False)
+#: Spark holds constraints and computed columns as metadata alone; the engine computes the latter, and stores them.
+spark_database = Database("spark", SPARK_STORAGE, 255, virtual=False, on_update=True, deferrable=frozenset(), set_default=False, partial_index=False)
 
 
 def affinity(declaration: str) -> str:
@@ -139,6 +148,52 @@ def _constraint(c: Constraint, db: Database):
             yield "an index has no order of nulls"
 
 
+def validate_constraint(c: Constraint, db: Database, path: str = "$") -> list[tuple]:
+    """(code, path, message) about what the database can't hold of a constraint."""
+    if c.kind == "index":
+        raise ValueError("an index is checked by validate_index()")
+    return [("unsupported-dialect-option", path, m) for m in _constraint(c, db)]
+
+
+def validate_index(c: Constraint, db: Database, path: str = "$") -> list[tuple]:
+    """(code, path, message) about what the database can't hold of an index."""
+    if c.kind != "index":
+        raise ValueError("a constraint is checked by validate_constraint()")
+    return [("unsupported-dialect-option", path, m) for m in _constraint(c, db)]
+
+
+@dataclass(frozen=True, eq=False)
+class SchemaDialect:
+    """A dialect with what its database can hold; ``checks`` are further functions of (registry, database) -> diagnostics."""
+
+    dialect: Dialect
+    database: Database
+    checks: tuple = ()
+
+    def diagnostics(self, s: Schema) -> list[tuple]:
+        return diagnostics(s, self.database) + [d for check in self.checks for d in check(s, self.database)]
+
+    def render(self, e: Expr, mode: str = "check") -> str:
+        return render_schema_expression(e, self.dialect, mode)
+
+
+def create_schema_dialect(dialect: Dialect, database: Database, *checks, **changes) -> SchemaDialect:
+    """``changes`` are other facts of the database than the given one's."""
+    return SchemaDialect(dialect, dataclasses.replace(database, **changes), checks)
+
+
+def spark_types(document: dict) -> dict:
+    """StructTypes by table id from a snapshot for Spark, the names physical."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    out = {}
+    for t in document["tables"]:
+        if any(c["storage"].get("dialect") != "spark" for c in t["columns"]):
+            raise SchemaError([("foreign-storage", f"$.tables.{t['id']}", "not a snapshot for Spark")])
+        out[t["id"]] = StructType([StructField(c["name"], _parse_datatype_string(c["storage"]["declaration"]), c["nullable"]) for c in t["columns"]])
+    return out
+
+
 def diagnostics(s: Schema, db: Database) -> list[tuple]:
     """All (code, path, message) about what the database can't hold; names too long count."""
     out = []

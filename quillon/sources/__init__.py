@@ -13,16 +13,20 @@ from ..nodes import Expr, Query, Source, column
 
 @dataclass(frozen=True)
 class Column:
-    """A column definition."""
+    """A column definition.
+
+    generated_as takes an expression or generated_column(), identity True or identity_column(). has_default and
+    generated say what the database does by itself; left out, they follow from the descriptors.
+    """
 
     domain: T.Domain
     nullable: bool = False
     default: object = None
-    has_default: bool = False
-    generated: bool = False
+    has_default: bool | None = None
+    generated: bool | None = None
     generated_as: object = None
     virtual: bool = False
-    identity: bool = False
+    identity: object = False
     on_update: object = None
     sql_name: str | None = None
     cast_type: str | None = None
@@ -53,6 +57,22 @@ def native_column(dialect: str, declaration: str, domain: T.Domain = T.UNKNOWN,
 dialect_column = native_column
 
 
+def portable_storage(domain: T.Domain) -> dict:
+    """Storage that every database maps by itself."""
+    return {"kind": "portable", "type": domain.name}
+
+
+def native_storage(dialect: str, declaration: str) -> dict:
+    """Storage as one database declares it."""
+    if not dialect.strip() or not declaration.strip():
+        raise T.QueryError("native storage needs a dialect and a declaration")
+    return {"kind": "native", "dialect": dialect, "declaration": declaration}
+
+
+def storage_of(definition: Column) -> dict:
+    return native_storage(*definition.native) if definition.native else portable_storage(definition.domain)
+
+
 def nullable(definition: Column) -> Column:
     return dataclasses.replace(definition, nullable=True)
 

@@ -15,8 +15,10 @@ one bucket of equal contexts are equal in all their windows.
 Where a bucket holds several contexts, one member of each is brought to a task, and the suffixes of all their bytes
 are refined by sorting: ranks of 8-grams become ranks of 16, 32, 64, 128 and LENGTH bytes, each level sorting pairs of
 bucket pointers (at the place, at the offset), and only of suffixes that aren't alone yet. What is left together at
-the last level are windows that contexts share. A bucket of more than BUCKET contexts is not brought to one task: the
-names (of two independent families) of its windows are counted by Spark with partial sums.
+the last level are windows that contexts share. A bucket of more than BUCKET contexts is not brought to one task but
+refined by Spark first: its windows are halved by how far left of the anchor they start, and the windows of a half
+share more bytes, by which their bucket is split. Contexts that are equal in all windows of a half are one member
+from there on; a bucket of one is done.
 
 Documents are kept as units (about a megabyte, compressed) in files on shared storage; positions refer to units,
 and tasks read the units they need, so texts are never shuffled.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -39,7 +42,7 @@ from . import common, words
 LENGTH, GRAM = 200, 40
 UNIT_BYTES = 1 << 20
 TILE = 1 << 25
-BUCKET = 256
+BUCKET = 512
 
 
 def _pack(ids: pa.Array, offsets: np.ndarray, data: np.ndarray) -> bytes:
@@ -153,7 +156,7 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: i
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
 
 
-ANCHOR = ["h", "c", "file", "at", "lo", "hi"]
+ANCHOR = ["h", "c", "file", "at", "lo", "hi", "x"]
 
 
 def _units(folder: str, length: int, gram: int):
@@ -166,13 +169,13 @@ def _units(folder: str, length: int, gram: int):
                 offsets, data = common.offsets_of(b.column(1))
                 packed = _pack(b.column(0), offsets, np.ascontiguousarray(data))
                 out.write(packed)
-                h, c, _, lo, hi = anchors(offsets, data, length, gram)
+                h, c, pos, lo, hi = anchors(offsets, data, length, gram)
                 n = len(h) + 1  # the last row stands for the unit itself
                 null = np.zeros(n, bool)
                 null[-1] = True
                 signed = [np.append(x, 0).astype(np.uint64).view(np.int64) for x in (h, c)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed[0], mask=null), pa.array(signed[1], mask=null), pa.array(np.full(n, name)), pa.array(np.full(n, at)), pa.array(np.append(lo, 0).astype(np.int32)), pa.array(np.append(hi, -1).astype(np.int32))], ANCHOR
+                    [pa.array(signed[0], mask=null), pa.array(signed[1], mask=null), pa.array(np.full(n, name)), pa.array(np.full(n, at)), pa.array(np.append(lo, 0).astype(np.int32)), pa.array(np.append(hi, -1).astype(np.int32)), pa.array(np.append(pos - lo, 0).astype(np.int16))], ANCHOR
                 )
                 at += len(packed)
 
@@ -185,11 +188,11 @@ def _contexts(folder: str, length: int):
     def run(batches):
         units = Units(folder)
         for b in batches:
-            h, c, file, at, lo, hi = (x.to_pylist() for x in b.columns)
+            file, at, lo, hi = (x.to_pylist() for x in b.columns[3:])
             text = []
             for f, a, l, r in zip(file, at, lo, hi):
                 text.append(units.get(f, a)[2][l : r + length].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.binary())], ["h", "c", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text, pa.binary())], ["h", "c", "x", "text"])
 
     return run
 
@@ -247,10 +250,11 @@ def _spans(of: np.ndarray, d: np.ndarray):
 
 
 def _compare(length: int):
-    """Rows (h, c, n, text) in order of h -> (h, c, first, last): windows of a context that another context has too."""
+    """Rows (g, h, c, d, text) in order of the bucket g -> (h, c, first, last): windows that another text of the bucket has
+    too; d is where the text starts in the context (h, c)."""
 
     def emit(rows):
-        texts = pa.array([r[3] for r in rows], pa.binary())
+        texts = pa.array([r[4] for r in rows], pa.binary())
         of, d, place, data = _windows(texts, length)
         if not len(of):
             return None
@@ -258,7 +262,8 @@ def _compare(length: int):
         some = np.flatnonzero(bucket >= 0)  # a place's bytes may go on into the next context, a window's don't
         hit = _buckets(some, bucket[some], len(of)) >= 0
         of, first, last = _spans(of[hit], d[hit])
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["h", "c", "first", "last"])
+        start = np.array([r[3] for r in rows])[of]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in of], pa.int64()), pa.array([rows[i][2] for i in of], pa.int64()), pa.array((first + start).astype(np.int32)), pa.array((last + start).astype(np.int32))], ["h", "c", "first", "last"])
 
     def run(batches):
         flat = (r for b in batches for r in zip(*(x.to_pylist() for x in b.columns)))
@@ -266,7 +271,7 @@ def _compare(length: int):
         for _, own in groupby(flat, key=lambda r: r[0]):  # whole buckets, several at a time
             own = list(own)
             held += own
-            size += sum(len(r[3]) for r in own)
+            size += sum(len(r[4]) for r in own)
             if size > UNIT_BYTES:
                 if (out := emit(held)) is not None:
                     yield out
@@ -277,20 +282,6 @@ def _compare(length: int):
     return run
 
 
-def _identified(length: int):
-    """The names of all windows of the contexts, by two families."""
-    size = power(length)
-
-    def run(batches):
-        for b in common.slices(batches, "text", UNIT_BYTES // 2):
-            of, d, place, data = _windows(b.column(2), length)
-            told = [name_of(names(data, length, seed)[size.bit_length() - 4], size, place, place + length, length, seed) if len(of) else np.zeros(0, np.uint64) for seed in (0, 1)]
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(d.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in told)], ["h", "c", "d", "x", "y"])
-
-    return run
-
-
 def _finish(folder: str, length: int):
     """Rows (file, at, lo, hi) in order of units -> one row per document."""
 
@@ -334,26 +325,27 @@ def repeated_windows(docs: DataFrame, folder: str, length: int = LENGTH, gram: i
     """
     spark = docs.sparkSession
     parts = common.partitions(spark, docs)
-    every = common.saved(docs.mapInArrow(_units(folder, length, gram), "h long, c long, file long, at long, lo int, hi int"), "anchors")
+    every = common.saved(docs.mapInArrow(_units(folder, length, gram), "h long, c long, file long, at long, lo int, hi int, x short"), "anchors")
     found = every.where("h IS NOT NULL")
     grams = common.saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = common.saved(common.attach(found, grams, ["h"], "n", total).drop("n"), "shared")
-    classes = common.saved(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("file", "at", "lo", "hi")).alias("one")), "classes")
+    classes = common.saved(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("file", "at", "lo", "hi", "x")).alias("one")), "classes")
     mixed = common.saved(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
     several = mixed.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     apart = common.attach(classes, mixed, ["h"], "k", several).select("h", "c", "k", "one.*")
 
-    def contexts(where: str) -> DataFrame:
-        rows = apart.where(where).select("h", "c", "file", "at", "lo", "hi").repartition(parts, "file", "at").sortWithinPartitions("file", "at")
-        return rows.mapInArrow(_contexts(folder, length), "h long, c long, text binary")
-
-    near = contexts(f"k <= {bucket}").withColumn("n", F.lit(0)).select("h", "c", "n", "text")
-    spans = near.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare(length), "h long, c long, first int, last int")
+    rows = apart.select("k", "h", "c", "x", "file", "at", "lo", "hi").repartition(parts, "file", "at").sortWithinPartitions("file", "at")
+    context = lambda where: rows.where(where).drop("k").mapInArrow(_contexts(folder, length), "h long, c long, x short, text binary")
+    near = context(f"k <= {bucket}").select(F.col("h").alias("g"), "h", "c", F.lit(0).alias("d"), "text")
+    spans = []
     if not mixed.where(f"k > {bucket}").isEmpty():
-        spans = spans.unionByName(_large(contexts(f"k > {bucket}"), length))
+        spans, more = _split(context(f"k > {bucket}"), length, length - gram, bucket)
+        near = near.unionByName(more)
+    compared = near.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_compare(length), "h long, c long, first int, last int")
+    spans = reduce(DataFrame.unionByName, [compared, *spans])
     lone = classes.where("n = 1").select("h", "c")
-    spans = common.saved(spans.join(lone, ["h", "c"]).groupBy("h", "c").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")  # one context's spans: under 100
+    spans = common.saved(spans.join(lone, ["h", "c"]).groupBy("h", "c").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")  # one context's spans: its windows, some 160, at most
     whole = classes.where("n > 1").select("h", "c", "n", F.lit(None).cast("array<struct<first: int, last: int>>").alias("spans"))
     marks = common.saved(whole.unionByName(spans.select("h", "c", F.lit(1).cast("long").alias("n"), "spans")), "marks")
     own = F.coalesce("spans", F.array(F.struct(F.lit(0).alias("first"), (F.col("hi") - F.col("lo")).alias("last"))))
@@ -361,12 +353,43 @@ def repeated_windows(docs: DataFrame, folder: str, length: int = LENGTH, gram: i
     return hits.select("file", "at", (F.col("lo") + F.col("s.first")).alias("lo"), (F.col("lo") + F.col("s.last")).cast("int").alias("hi")).unionByName(every.where("h IS NULL").select("file", "at", "lo", "hi"))
 
 
-def _large(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans as _compare() gives them, for buckets of any size."""
-    ids = common.saved(contexts.mapInArrow(_identified(length), "h long, c long, d int, x long, y long"), "windows")
-    twice = common.saved(ids.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    hits = common.attach(ids, twice, ["x", "y"], "n", ids.count()).groupBy("h", "c").agg(F.collect_set("d").alias("d"))  # one context's windows
-    return hits.select("h", "c", F.explode("d").alias("first")).withColumn("last", F.col("first"))
+def _split(contexts: DataFrame, length: int, most: int, bucket: int) -> tuple[list[DataFrame], DataFrame]:
+    """Refines buckets h of contexts (h, c, x, text), x the anchor's place in the text, until they have ``bucket`` members
+    at most: (spans (h, c, first, last) found on the way, rows (g, h, c, d, text) for _compare()).
+
+    A window that starts l bytes left of its anchor has l in p..q, at first 0..most. The windows of a half p..m share
+    the bytes from p left of the anchor to length - m right of it, so equal windows of two contexts are in one bucket
+    of equal such bytes. When p = q these bytes are the window, and the bucket has one member.
+    """
+    spans, small = [], []
+    pending = contexts.select(F.col("h").alias("g"), "h", "c", F.lit(0).alias("d"), F.col("x").cast("int").alias("x"), "text", F.lit(0).alias("p"), F.lit(most).alias("q"))
+    while True:
+        pending = common.saved(pending, "split")
+        middle = F.expr("(p + q) div 2").cast("int")
+        halves = [_half(pending.withColumn("q", middle), length), _half(pending.withColumn("p", middle + 1), length)]
+        halves = common.saved(halves[0].unionByName(halves[1]).withColumn("name", F.md5("text")), "halves")
+        classes = halves.groupBy("g", "x", "name").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "d", "text", "p", "q")).alias("one"))
+        classes = common.saved(classes, "halved")
+        alike = classes.where("n > 1").select("g", "x", "name", "n")
+        total = halves.count()
+        spans.append(common.saved(common.attach(halves, alike, ["g", "x", "name"], "n", total).select("h", "c", F.col("d").alias("first"), (F.col("d") + F.length("text") - length).cast("int").alias("last")), "alike"))
+        sizes = common.saved(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "halves-sizes")
+        rest = common.saved(common.attach(classes.select("g", "x", "one"), sizes, ["g"], "k", total).select("k", "g", "one.h", "one.c", "one.d", "x", "one.text", "one.p", "one.q"), "rest")
+        small.append(rest.where(f"k <= {bucket}").select("g", "h", "c", "d", "text"))
+        pending = rest.where(f"k > {bucket}").drop("k")
+        if pending.isEmpty():
+            return spans, reduce(DataFrame.unionByName, small)
+
+
+def _half(rows: DataFrame, length: int) -> DataFrame:
+    """The rows' windows with p..q bytes left of the anchor, in buckets of the bytes that all of these share."""
+    left, right = F.least("q", "x"), F.greatest(F.col("p"), F.col("x") - F.length("text") + length)
+    part = lambda start, size: F.substring(F.col("text"), start + 1, size)
+    some = rows.where((F.col("p") <= F.col("q")) & (left >= right))
+    return some.select(
+        F.xxhash64("g", "p", "q", part(F.col("x") - F.col("p"), F.col("p") - F.col("q") + length)).alias("g"), "h", "c", (F.col("d") + F.col("x") - left).cast("int").alias("d"),
+        left.cast("int").alias("x"), part(F.col("x") - left, left - right + length).alias("text"), "p", "q",
+    )
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", id_col: str = "doc_id") -> DataFrame:

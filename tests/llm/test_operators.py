@@ -270,7 +270,7 @@ def brute_repeats(every, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, bucket", [(200, 256), (200, 2), (100, 256), (37, 256), (20, 2), (16, 256)])
+@pytest.mark.parametrize("length, bucket", [(200, 512), (200, 1), (100, 512), (37, 3), (20, 1), (16, 512)])
 def test_suffix_dedup(spark, docs, length, bucket, monkeypatch):
     monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (200, 40, bucket))
     docs = docs.where("length(text) < 20000 or text is null") if length < 200 else docs

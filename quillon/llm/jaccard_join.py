@@ -323,14 +323,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, targ
     return named.select("doc_id", F.col("root").alias("class_id"), F.col("node").alias("copy_of"), (F.col("links") + F.col("copies") - 1).alias("n_links")).unionByName(alone)
 
 
-def _with_set(size: int):
+def _with_set(size: int, name: str):
     """Rows with a hash of the text's shingle set as a further column."""
 
     def run(batches):
         for b in common.slices(batches, "text"):
             sets = _sets(*common.offsets_of(b.column(b.schema.get_field_index("text"))), size)
             keys = [hashlib.md5(x.tobytes()).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, name])
 
     return run
 
@@ -340,19 +340,20 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
 
     Rows with a null id link to nothing and stay. Rows that share an id are one document to ``near_duplicates``: all
     of them go where one links to a smaller id. Where the id stays, so do its texts with different sets of shingles;
-    of those with equal ones the smallest text stays, then the row that is the smallest as JSON.
+    of those with equal ones the smallest text stays, then the row that is the smallest as JSON. Other columns may have
+    any names.
     """
-    kept = common.saved(near_duplicates(docs, threshold, size).where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    counts = docs.groupBy("doc_id").count().join(kept, "doc_id")
-    named = common.saved(counts.select("doc_id", (F.col("count") > 1).alias("_shared")), "named")
+    shared, key, whole = (common.fresh(docs.columns, name) for name in ("_shared", "_set", "_row"))
+    kept = near_duplicates(docs, threshold, size).where("doc_id = class_id").select("doc_id").distinct()
+    named = common.saved(docs.groupBy("doc_id").agg(F.count("*").alias(shared)).join(kept, "doc_id").withColumn(shared, F.col(shared) > 1), "named")
     rows = docs.join(named, "doc_id")
-    shared = rows.where("_shared").select(*docs.columns)
-    if named.where("_shared").isEmpty():
-        return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-    sets = shared.mapInArrow(_with_set(size), StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
-    whole = F.struct(*docs.columns)
-    least = sets.groupBy("doc_id", "_set").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row")).select("_row.*")
-    return rows.where("NOT _shared").select(*docs.columns).unionByName(least).unionByName(docs.where("doc_id IS NULL"))
+    unique = rows.where(~F.col(shared)).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    if named.where(F.col(shared)).isEmpty():
+        return unique
+    sets = rows.where(F.col(shared)).select(*docs.columns).mapInArrow(_with_set(size, key), StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    row = F.struct(*docs.columns)
+    least = sets.groupBy("doc_id", key).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias(whole)).select(f"{whole}.*")
+    return unique.unionByName(least)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -54,18 +54,14 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     some = np.maximum(size, 1)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     kinds = np.bincount(doc * _N_CLASS + _CLASS[data], minlength=n * _N_CLASS).reshape(n, _N_CLASS) / some[:, None]
-    h, first = words.words(offsets, data)
+    low, edge, stop, first = words.spans(offsets, data)
+    h = words.digests(low, edge, stop)
     count = np.diff(first).astype(float)
     word_doc = np.repeat(np.arange(n), np.diff(first))
-    flag = words.IS_WORD[words.LOWER[data]]
-    in_words = np.bincount(doc[flag], minlength=n)
-    w = np.maximum(count, 1)
-    mean_len = in_words / w
-    edge = np.flatnonzero(flag & ~np.concatenate([[False], flag[:-1]])) if len(data) else np.zeros(0, np.int64)
-    stop = np.flatnonzero(flag & ~np.concatenate([flag[1:], [False]])) + 1 if len(data) else np.zeros(0, np.int64)
     length = (stop - edge).astype(float)
-    run_doc = doc[edge] if len(edge) else np.zeros(0, np.int64)
-    var = np.bincount(run_doc, length**2, minlength=n) / w - mean_len**2
+    w = np.maximum(count, 1)
+    mean_len = np.bincount(word_doc, length, minlength=n) / w
+    var = np.bincount(word_doc, length**2, minlength=n) / w - mean_len**2
     distinct, top, once = _top_and_distinct(word_doc, h, n)
     pair_ok = word_doc[1:] == word_doc[:-1]
     pairs = words.mix(h[1:] * words.U(words.BASE) + h[:-1])[pair_ok]
@@ -80,12 +76,12 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     lh = words.span_hash(words.prefix_hash(data), start, end)
     d_lines, top_line, _ = _top_and_distinct(line_doc, lh, n)
     tail = np.maximum(end - 1 - (data[np.maximum(end - 1, 0)] == 10), 0)
-    closed = np.bincount(line_doc, np.isin(data[tail], np.frombuffer(b".!?\"')", np.uint8)), minlength=n)
+    closed = np.bincount(line_doc, np.isin(data[tail], np.frombuffer(b".!?\"')", np.uint8)) & (tail >= start), minlength=n)  # an empty line has no end
     same = np.bincount(doc[1:][(data[1:] == data[:-1]) & (doc[1:] == doc[:-1])], minlength=n) if len(data) else np.zeros(n)
     p = np.where(kinds > 0, kinds, 1)
     ln = np.maximum(lines, 1)
-    caps = np.bincount(doc[edge][_CLASS[data[edge]] == 2], minlength=n) if len(edge) else np.zeros(n)
-    extra = [np.log1p(size), np.log1p(count), mean_len, np.sqrt(np.maximum(var, 0)), np.bincount(run_doc[length > 12], minlength=n) / w, distinct / w, top / w, d_pairs, np.log1p(lines), size / ln, d_lines / ln, top_line / ln, same / some, closed / ln, -(p * np.log(p)).sum(axis=1), np.bincount(run_doc[length == 1], minlength=n) / w, once / w, caps / w]
+    caps = np.bincount(word_doc[_CLASS[data[edge]] == 2], minlength=n)
+    extra = [np.log1p(size), np.log1p(count), mean_len, np.sqrt(np.maximum(var, 0)), np.bincount(word_doc[length > 12], minlength=n) / w, distinct / w, top / w, d_pairs, np.log1p(lines), size / ln, d_lines / ln, top_line / ln, same / some, closed / ln, -(p * np.log(p)).sum(axis=1), np.bincount(word_doc[length == 1], minlength=n) / w, once / w, caps / w]
     return np.column_stack([kinds, *extra])
 
 

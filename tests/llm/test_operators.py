@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -541,17 +543,83 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def walked(trees, row):
+    """The score of one row of statistics, node by node."""
+    total = trees.base
+    for k in trees.roots:
+        while trees.left[k] != k:
+            k = trees.left[k] if row[trees.feature[k]] <= trees.threshold[k] else trees.right[k]
+        total += trees.value[k]
+    return 1 / (1 + math.exp(-total))
+
+
+def statistics_of(text):
+    """The statistics of one text, counted plainly."""
+    raw = text.encode()
+    marks = b"|$&%#*<>{}@/\\=+_-:;!?,.\"'()[]~^`"
+    group = lambda c: 1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 if 48 <= c < 58 else 5 if c == 10 else 4 if c in b"\t\x0b\x0c\r " else 6 if 128 <= c < 192 else 7 if c >= 192 else 8 + marks.index(c) if c in marks else 0
+    n = max(len(raw), 1)
+    kinds = Counter(map(group, raw))
+    shares = [kinds[k] / n for k in range(8 + len(marks))]
+    # Words of the statistics that measure lengths are runs of word bytes, letter case aside.
+    words_ = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    low = [w.lower() for w in words_]
+    count = len(words_)
+    w = max(count, 1)
+    sizes = [len(x) for x in words_]
+    mean = sum(sizes) / w
+    var = sum(x * x for x in sizes) / w - mean**2
+    held = Counter(low)
+    pairs = list(zip(low, low[1:]))
+    lines = raw.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    lines_held = Counter(lines)
+    m = max(len(lines), 1)
+    closed = 0
+    for x in lines:
+        body = x[:-1] if x.endswith(b"\n") else x
+        closed += (body or x)[-1:] in (b".", b"!", b"?", b'"', b"'", b")") if body else False
+    return [
+        *shares, math.log1p(len(raw)), math.log1p(count), mean, math.sqrt(max(var, 0)), sum(x > 12 for x in sizes) / w, len(held) / w, max(held.values(), default=0) / w, len(set(pairs)) / max(len(pairs), 1),
+        math.log1p(len(lines)), len(raw) / m, len(lines_held) / m, max(lines_held.values(), default=0) / m, sum(a == b for a, b in zip(raw, raw[1:])) / n, closed / m, -sum(p * math.log(p) for p in shares if p), sum(x == 1 for x in sizes) / w,
+        sum(c == 1 for c in held.values()) / w, sum(65 <= x[0] < 91 for x in words_) / w,
+    ]
+
+
+def test_statistics_are_those_of_brute_force():
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([1, 5, 80])) for _ in range(20)] + ["", "\n", "a", "A b\nA b\nC d.\n", "x\n\n!y", "é É 12 aa", "||$$ word", "trailing\n", "日本語\nтекст.", "\t \x0b", "supercalifragilistic word"]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.cumsum([0] + [len(r) for r in raw]), np.frombuffer(b"".join(raw), np.uint8))
+    for t, row in zip(texts, got):
+        assert np.allclose(row, statistics_of(t), atol=1e-9), (t, [(n, a, b) for n, a, b in zip(quality.NAMES, row, statistics_of(t)) if abs(a - b) > 1e-9])
+
+
+def test_histograms_find_the_best_split_of_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    t = quality.grow(x, y, trees=1, depth=1)
+    g, w = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+    best = max((g[x[:, f] <= c].sum() ** 2 / (w[x[:, f] <= c].sum() + 1) + g[x[:, f] > c].sum() ** 2 / (w[x[:, f] > c].sum() + 1), f, c) for f in range(3) for c in range(11) if 20 <= (x[:, f] <= c).sum() <= 280)
+    root = t.roots[0]
+    assert t.feature[root] == best[1] and (x[:, best[1]] <= t.threshold[root]).tolist() == (x[:, best[1]] <= best[2]).tolist()
+    low = x[:, best[1]] <= best[2]
+    assert np.isclose(t.value[t.left[root]], 0.1 * g[low].sum() / (w[low].sum() + 1)) and np.isclose(t.value[t.right[root]], 0.1 * g[~low].sum() / (w[~low].sum() + 1))
+
+
+def test_quality_learns_from_one_row_of_an_id(spark):
+    rows = [(i, "good words of prose " * 9 if i % 2 else "$$ | $$ | " * 20) for i in range(200)]
+    one = quality.train(spark.createDataFrame(rows + [(1, "zz"), (1, "zz")] * 50, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    two = quality.train(spark.createDataFrame([*rows, (1, "zz")], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    assert np.array_equal(one.value, two.value) and np.array_equal(one.threshold, two.threshold)
+
+
 def test_trees_walk_like_a_single_row():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
     t = quality.grow(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=20)
-    for row in x[:20]:
-        total = t.base
-        for k in t.roots:
-            while t.left[k] != k:
-                k = t.left[k] if row[t.feature[k]] <= t.threshold[k] else t.right[k]
-            total += t.value[k]
-        assert abs(t.predict(row[None])[0] - 1 / (1 + np.exp(-total))) < 1e-9
+    assert all(abs(t.predict(row[None])[0] - walked(t, row)) < 1e-9 for row in x[:20])
 
 
 def test_chat(spark):

@@ -9,7 +9,9 @@ from itertools import groupby
 
 import corpus_pipeline
 
-from test_operators import brute_jaccard, windows_of, WORD, lower
+from quillon.llm import quality
+
+from test_operators import WORD, brute_jaccard, lower, statistics_of, walked, windows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,25 +20,34 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     every = {r.doc_id: r for r in docs.collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    (_, f1), (_, f2), (_, f3), (_, f4), (_, f5) = corpus_pipeline.STAGES
+    (_, f1), (_, f2) = corpus_pipeline.STAGES[:2]
     good = f1(spark, docs, SF)
     assert good.columns == docs.columns
     kept = {r.doc_id for r in good.collect()}
     known = [d for d in labels if d in every]
     assert sum((d in kept) == bool(labels[d]) for d in known) > 0.9 * len(known)
+    # The stage keeps what a plain walk of the same trees keeps.
+    trees = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept == {d for d, r in every.items() if walked(trees, statistics_of(r.text or "")) >= 0.3}
     one = f2(spark, docs, SF)
     want = brute_jaccard(list(every.values()))
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {d for d, (c, _) in want.items() if d == c}
-    grams = {g for _, g in windows_of([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
-    dirty = {d for d, r in every.items() if any(tuple((w := WORD.findall(lower(r.text)))[i : i + len(g)]) == g for g in grams for i in range(len(w) - len(g) + 1))} if len(grams) < 50 else None
-    clean = f3(spark, docs, SF)
-    assert clean.columns == docs.columns
-    if dirty is not None:
-        assert {r.doc_id for r in clean.collect()} == set(every) - dirty
-    mix = f4(spark, docs, SF)
-    assert mix.columns == docs.columns and mix.count() > 0
-    tokens = f5(spark, mix, SF)
-    assert tokens.count() == mix.count()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["_score", "_key", "_times", "_pass", "_set", "_shared", "node", "label", "size", "taken", "_id", "score"]
+    wide = docs.selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    odd = wide.selectExpr(*(f"cast(null as {t}) as `{n}`" for n, t in wide.dtypes))
+    wide = wide.unionByName(odd).unionByName(wide.limit(3)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, wide, SF), stage(spark, wide.select(*docs.columns), SF)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert all(tuple(r)[len(docs.columns) :] in (tuple(range(len(names))), (None,) * len(names)) for r in rows)
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in plain.collect()), name
+        assert stage(spark, wide.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == wide.count()
 
 
 def test_run(spark):

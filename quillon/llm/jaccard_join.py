@@ -279,7 +279,7 @@ def _shingled(size: int):
 BROADCAST_IDS = 1_000_000
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, target: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, target: float = 0.995, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, class_id, copy_of, n_links per document.
 
     Two documents are linked when the Jaccard similarity of their sets of ``size``-word shingles is at least

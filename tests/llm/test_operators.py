@@ -722,3 +722,33 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session)
+
+
+def test_very_long_texts(spark):
+    """Texts of ten megabytes go through every operator whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    text = " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), 1_700_000))
+    assert len(text) > 9_500_000
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + " end", "a"), (3, None, "b"), (4, "short", "b")], "doc_id long, text string, source string").repartition(3)
+    docs = common.saved(docs, "long")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_dedup(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    words_ = text.split(" ")
+    bench = spark.createDataFrame([(7, " ".join(words_[-60:]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit, r.longest) for r in decontaminate.contamination(docs, bench).collect()} == {1: (1_700_000, 60, 60), 2: (1_700_001, 60, 60), 3: (0, 0, 0), 4: (1, 0, 0)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(docs).collect()} == {1: (len(text), len(text)), 2: (len(text) + 4, len(text)), 3: (0, 0), 4: (5, 0)}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = tok.encode(text, add_special_tokens=False).ids
+    rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_table.token_table(docs).collect()}
+    assert rows[1] == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) and rows[3][0] == 1
+    assert {r.doc_id: r.size for r in mixing.mixed(docs).collect()} == {1: 1_700_000, 2: 1_700_001, 3: 0, 4: 1}
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.quality(docs, labels).count() == 4
+    pages = docs.selectExpr("doc_id AS page_id", "'http://h/' AS url", "concat('<article><p>', text, '</p></article>') AS html")
+    assert {r.page_id: r.n_chars for r in html_text.main_text(pages).collect()} == {1: len(text), 2: len(text) + 4, 3: 0, 4: 5}
+    assert {r.page_id: r.payload_bytes for r in warc.read_archives(warc.write_archives(pages), with_payload=False).collect()} == {1: len(text) + 26, 2: len(text) + 30, 3: 0, 4: 31}

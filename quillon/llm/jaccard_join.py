@@ -106,7 +106,7 @@ def _shared_depths(ids: list[int], sample: np.ndarray, threshold: float):
 def measured_recalls(labels: DataFrame, threshold: float, sample: int = SAMPLE) -> list[float]:
     """Recall of prefixes of 1 ... DEPTH values: of the pairs of a sampled class and any class above the threshold by
     their signatures, the share that has such a prefix in common in some tree. 1.0 where there are no such pairs."""
-    chosen = labels.select("cid", "label").orderBy(F.xxhash64("cid"), "cid").limit(sample).collect()
+    chosen = labels.select("cid", "label").orderBy(F.xxhash64("label"), "label").limit(sample).collect()  # by their labels: the same ones whatever the partitioning
     run = _shared_depths([r["cid"] for r in chosen], _values(bytes(r["label"]) for r in chosen), threshold)
     found = {r["depth"]: r["pairs"] for r in labels.select("cid", "label").mapInArrow(run, "depth long, pairs long").groupBy("depth").agg(F.sum("pairs").alias("pairs")).collect()}
     total = sum(found.values())

@@ -241,13 +241,15 @@ def live_digests(docs: DataFrame, withdrawn: DataFrame | None = None, text: str
 
     An id of 2**63 - 1 counts as null here.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs, text, id_col).select("digest", "points", F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n"))
-    if withdrawn is not None:
-        rows = rows.unionByName(keyed(withdrawn.withColumn("_none", F.lit(None).cast("long")), text, "_none").select("digest", "points", "doc_id", F.lit(0).cast("long").alias("n")))
-    local = rows.mapInArrow(_combine, KEYS)
-    return local.repartition(common.partitions(spark, docs), "digest").mapInArrow(_combine, KEYS).where("n > 0")
+    return _live(keyed(docs, text, id_col), withdrawn, text, common.partitions(docs.sparkSession, docs))
+
 
+def _live(keys: DataFrame, withdrawn: DataFrame | None, text: str, parts: int) -> DataFrame:
+    rows = keys.select("digest", "points", F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    if withdrawn is not None:
+        none = common.fresh(withdrawn.columns, "_none")
+        rows = rows.unionByName(keyed(withdrawn.withColumn(none, F.lit(None).cast("long")), text, none).select("digest", "points", "doc_id", F.lit(0).cast("long").alias("n")))
+    return rows.mapInArrow(_combine, KEYS).repartition(parts, "digest").mapInArrow(_combine, KEYS).where("n > 0")
 
 
 def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -259,8 +261,8 @@ def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None, text: str =
     the index: their documents get a null keep_id, group_size 0 and are not kept. An empty table gives no rows,
     and columns other than the id and the text are not looked at.
     """
-    keys = keyed(docs, text, id_col)
-    live = common.saved(live_digests(docs, withdrawn, text, id_col), "digests").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("points").alias("keep_points"))
+    keys = common.saved(keyed(docs, text, id_col), "keys")  # 50 bytes a row, so each text is read and hashed once
+    live = common.saved(_live(keys, withdrawn, text, common.partitions(docs.sparkSession, docs)), "digests").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("points").alias("keep_points"))
     total = live.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     lone = common.attach(keys, live, ["digest"], "group_size", total, "left" if withdrawn is not None else "inner")
     return lone.select(

@@ -22,7 +22,7 @@ def small(spark):
     return q.Engine(spark, {"groups": spark.createDataFrame([(g,) for g in GROUPS], "g int"), "items": spark.createDataFrame(ITEMS, "k int, g int, v int").repartition(7)})
 
 
-@pytest.mark.parametrize("name", ["q_lateral"])
+@pytest.mark.parametrize("name", ["q_lateral", "q_left_lateral"])
 def test_the_first_row_of_a_lateral_is_found_by_an_ordered_window(spark, name):
     windows = re.findall(r"row_number\(\) windowspecdefinition\((.*?), specifiedwindowframe", plan(QUERIES[name](spark, SF)))
     assert windows and all("DESC" in w and "ASC" in w for w in windows)

@@ -53,3 +53,13 @@ def test_a_page_of_groups_and_of_distinct_rows(small):
         distinct = sorted({v for v in own if v is not None}, reverse=True)
         first = (often[0][1] if often[0][1] >= 0 else None) if often else None
         assert got[g] == (first, distinct[1] if len(distinct) > 1 else None)
+
+
+def paired(df):
+    """Joins without a condition."""
+    return re.findall(r"Join (?:Inner|Cross)\s*$", plan(df), re.M)
+
+
+@pytest.mark.parametrize("name", ["q_two_levels_exists"])
+def test_two_levels_make_no_product(spark, name):
+    assert not paired(QUERIES[name](spark, SF))

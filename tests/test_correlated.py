@@ -60,6 +60,6 @@ def paired(df):
     return re.findall(r"Join (?:Inner|Cross)\s*$", plan(df), re.M)
 
 
-@pytest.mark.parametrize("name", ["q_two_levels_exists", "q_two_levels_lateral", "q_two_levels_not_exists"])
+@pytest.mark.parametrize("name", ["q_two_levels_exists", "q_two_levels_lateral", "q_two_levels_not_exists", "q_two_levels_scalar"])
 def test_two_levels_make_no_product(spark, name):
     assert not paired(QUERIES[name](spark, SF))

@@ -32,6 +32,8 @@ FOOTER = struct.Struct("<QIQIQQ8s")
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
 CACHE_PIECES = 1_500_000
+#: Pieces that are encoded as the lines of one text.
+LINES = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -66,6 +68,25 @@ def pieces(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def alone_in_line(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a piece has the same tokens as a line of a text, the newlines around it being tokens of their own.
+
+    It holds no newline, ends with a non-blank, and starts with one or with a single blank before one. Characters
+    beyond ASCII count as non-blanks unless they begin like one of the blanks there (U+0085, U+00A0, U+1680, U+180E,
+    U+2000 to U+206F, U+3000 and their neighbours).
+    """
+    padded = np.zeros(len(data) + 6, np.uint8)
+    padded[3:-3] = data
+    blank = np.zeros(len(data) + 6, bool)  # a character that may be a blank begins here
+    lead, then = padded[:-1], padded[1:]
+    blank[:-1] = _SPACE[lead] | (lead == 0xC2) & (then < 0xA1) | (lead == 0xE1) & ((then == 0x9A) | (then == 0xA0)) | (lead == 0xE2) & (then < 0x82) | (lead == 0xE3) & (then == 0x80)
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    first = start + 3 + ((data[start] == 32) & (end - start > 1))
+    last = end + 2
+    ends = _SPACE[padded[last]] | (padded[last] > 127) & (blank[last - 1] & (padded[last - 1] == 0xC2) | blank[last - 2] & (padded[last - 2] > 0xE0))
+    return ~blank[first] & ~ends & (lines[end] == lines[start])
+
+
 class Cache:
     """Token ids by a piece's two 64-bit hashes, in a few arrays sorted by the first one over one pool of ids."""
 
@@ -84,26 +105,23 @@ class Cache:
             known |= hit
         return start, n, known
 
-    def add(self, keys: np.ndarray, others: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, keys: np.ndarray, others: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """keys in ascending order; of two pieces with an equal first hash the one that comes first is held"""
-        level = keys, others, *self.hold(ids)
+        level = keys, others, self.hold(ids, count), count
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             both = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
             order = np.argsort(both[0], kind="stable")
             level = tuple(x[order] for x in both)
         self.levels.append(level)
 
-
-    def hold(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(start in the pool, number of ids) of lists that are put there"""
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-        while self.used + len(flat) > len(self.pool):
+    def hold(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Starts in the pool of pieces with so many ids, which are put there."""
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
+        self.pool[self.used : self.used + len(ids)] = ids
         start = np.cumsum(count) - count + self.used
-        self.used += len(flat)
-        return start, count
+        self.used += len(ids)
+        return start
 
 
 class Encoder:
@@ -125,11 +143,47 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and not spec.get("truncation") and not spec.get("padding") and not any(b"\n" in a for a in self.added) else None
         self.cache = Cache()
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
+    def _pieces(self, data: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces of ``data``, number of ids of each); most are encoded many at once, as lines of a text."""
+        count = np.zeros(len(start), np.int64)
+        lines = alone_in_line(data, start, end) if self.line is not None else np.zeros(len(start), bool)
+        found, where = [], []
+        own = np.flatnonzero(lines)
+        for at in range(0, len(own), LINES * 256):
+            some = own[at : at + LINES * 256]
+            size = end[some] - start[some] + 1  # with the newline
+            upto = np.concatenate([[0], np.cumsum(size)])
+            text = data[np.minimum(np.arange(upto[-1]) - np.repeat(upto[:-1] - start[some], size), len(data) - 1)]
+            text[upto[1:] - 1] = 10
+            text, cuts = text.tobytes(), [*upto[:-1:LINES].tolist(), int(upto[-1])]
+            ids = np.fromiter(chain.from_iterable(self._raw([text[s:e].decode("utf-8", "replace") for s, e in zip(cuts[:-1], cuts[1:])])), np.uint32)
+            stop = np.flatnonzero(ids == self.line)
+            if len(stop) != len(some):
+                raise AssertionError("a newline isn't a token of its own")
+            count[some] = np.diff(stop, prepend=-1) - 1
+            found.append(np.delete(ids, stop))
+            where.append(some)
+        own = np.flatnonzero(~lines)
+        if len(own):
+            ids = self._raw([raw[s:e].decode("utf-8", "replace") for s, e in zip(start[own].tolist(), end[own].tolist())])
+            count[own] = np.fromiter(map(len, ids), np.int64, len(ids))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(count[own].sum())))
+            where.append(own)
+        if not found:
+            return np.zeros(0, np.uint32), count
+        order, first = np.concatenate(where), np.cumsum(count) - count
+        size = count[order]
+        ids = np.empty(int(count.sum()), np.uint32)
+        ids[np.arange(len(ids)) - np.repeat(np.cumsum(size) - size - first[order], size)] = np.concatenate(found)
+        return ids, count
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, index of each text's first id with the total at the end) of texts given as UTF-8."""
         raw = data.tobytes()
@@ -142,16 +196,16 @@ class Encoder:
         keys, lead, of = np.unique(first, return_index=True, return_inverse=True)
         if sum(len(x[0]) for x in self.cache.levels) > CACHE_PIECES:
             self.cache = Cache()
-        piece = lambda i: raw[start[i] : end[i]].decode("utf-8", "replace")
         at, n, known = self.cache.find(keys, second[lead])
         new = np.flatnonzero(~known)
         if len(new):
-            self.cache.add(keys[new], second[lead[new]], self._raw([piece(i) for i in lead[new].tolist()]))
+            self.cache.add(keys[new], second[lead[new]], *self._pieces(data, raw, start[lead[new]], end[lead[new]]))
             at, n, known = self.cache.find(keys, second[lead])
         at, n = at[of], n[of]
         odd = np.flatnonzero(~known[of] | (second != second[lead][of]))  # the first hash is another piece's too
         if len(odd):
-            at[odd], n[odd] = self.cache.hold(self._raw([piece(i) for i in odd.tolist()]))
+            own, n[odd] = self._pieces(data, raw, start[odd], end[odd])
+            at[odd] = self.cache.hold(own, n[odd])
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.cache.pool[np.arange(upto[-1]) - np.repeat(upto[:-1] - at, n)]
         return ids, upto[np.searchsorted(start, offsets)]
